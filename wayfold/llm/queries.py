@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bpe_codec, decontamination, token_counts
+from wayfold.llm import bpe_codec, decontamination, quality, secret_scan, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("text", "cleaned")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(_read(spark, sf_dir, "documents")).drop("redacted", "n_novel")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contaminated_words(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -27,7 +40,7 @@ def op10_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op9_benchmark_decontamination, op10_byte_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filter, op8_secret_scan, op9_benchmark_decontamination, op10_byte_bpe_codec)}
 
 
 _WORDS_9 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -35,6 +48,7 @@ _WORDS_9 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'a
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality.oracle(),
         "op9_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS_9}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS_9} AS w FROM benchmark WHERE text IS NOT NULL),

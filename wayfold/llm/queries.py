@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bpe_codec, decontamination, quality, secret_scan, token_counts, url_filter
+from wayfold.llm import bpe_codec, decontamination, ngram_join, quality, secret_scan, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(_read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(_read(spark, sf_dir, "documents")).drop("redacted", "n_novel")
 
@@ -40,7 +44,7 @@ def op10_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filter, op8_secret_scan, op9_benchmark_decontamination, op10_byte_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filter, op4_ngram_jaccard_join, op8_secret_scan, op9_benchmark_decontamination, op10_byte_bpe_codec)}
 
 
 _WORDS_9 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -49,6 +53,16 @@ _WORDS_9 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'a
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.oracle(),
+        "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT a AS v, a AS r FROM links UNION SELECT links.b, r FROM reach JOIN links ON links.a = reach.v),
+c AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id FROM s LEFT JOIN c ON c.v = doc_id""",
         "op9_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS_9}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS_9} AS w FROM benchmark WHERE text IS NOT NULL),

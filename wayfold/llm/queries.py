@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bpe_codec, decontamination, ngram_join, quality, repeats, secret_scan, token_counts, url_filter
+from wayfold.llm import bpe_codec, decontamination, licenses, ngram_join, pii, quality, repeats, secret_scan, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(_read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "paragraphs")
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filter, op4_ngram_jaccard_join, op6_suffix_dedup, op8_secret_scan, op9_benchmark_decontamination, op10_byte_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filter, op4_ngram_jaccard_join, op5_license_scan, op6_suffix_dedup, op7_pii_surrogates, op8_secret_scan, op9_benchmark_decontamination, op10_byte_bpe_codec)}
 
 
 _WORDS_9 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -1,8 +1,68 @@
-"""A corpus pipeline over ``documents``; see STAGES."""
+"""A corpus pipeline over ``documents``.
 
-STAGES = []
+Documents that fail the quality rules go, of each class of near duplicates one stays (that with the least id), documents
+that hold a window of a benchmark item go, secrets are masked in the texts, and what is left is encoded and decoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.llm import bpe_codec, decontamination, ngram_join, quality, secret_scan
+from wayfold.llm.scratch import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, as they are."""
+    return quality.quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates; documents without an id are classes of their own."""
+    classes = ngram_join.similar_classes(docs)
+    others = classes.where("component_id <> doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontamination.without_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked; ``n_chars`` counts the new text."""
+    masked = secret_scan.redacted(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of the tokens of each document, and the digest of what they decode to."""
+    return bpe_codec.digests(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("byte-level BPE", byte_level_bpe),
+]
+
+#: Secret novelty and byte-pair encoding have no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages; each but the last is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.keep(docs)
+        if 0 < k < len(STAGES) - 1:
+            scratch.drop(before)
+    return docs

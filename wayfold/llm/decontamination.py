@@ -177,3 +177,25 @@ def _unite(id_kind: str):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text holds no window of an item; null texts stay.
+
+    One pass over ``docs`` for each block of items; no shuffle, no use of ids.
+    """
+    place = docs.columns.index(text_col)
+    context = docs.sparkSession.sparkContext
+    for block in blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(_clean(context.broadcast(block), window, place), docs.schema)
+    return docs
+
+
+def _clean(part, window: int, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = None
+        for batch in batches:
+            machine = machine or Automaton(part.value, window)
+            yield batch.filter(pa.array([not t or not len(machine.scan(t)[1]) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return run

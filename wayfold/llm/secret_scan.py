@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wayfold.llm.arrow import map_texts
@@ -126,3 +128,25 @@ def redact(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
             out += [text[at:a], mask]
         at = max(at, b)
     return "".join(out) + text[at:]
+
+
+def redacted(df: DataFrame, text_col: str = "text", least: float = 0.7, near: int = 60, around: int = 400, mask: str = "<secret>") -> DataFrame:
+    """The rows of ``df``, all columns as they are but for the text, whose secret spans are replaced by ``mask``."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(IDENTIFIERS.encode())
+
+        def clean(t: str | None) -> str | None:
+            if not t:
+                return t
+            base = base_spans(t)
+            spans = base + novel_spans(t, base, novelty, least, near, around)
+            return redact(t, spans, mask) if spans else t
+
+        for batch in batches:
+            columns = batch.columns
+            columns[place] = pa.array([clean(t) for t in columns[place].to_pylist()], columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)

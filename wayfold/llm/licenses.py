@@ -17,6 +17,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.quality import settled
+
 UNKNOWN = "unknown"
 #: Short public notices of each family.
 TEMPLATES = {
@@ -146,4 +148,4 @@ def license_scan(df: DataFrame, text_col: str = "text", least: float = 0.5, shar
             "licenses": F.expr("array_join(sort_array(array_distinct(transform(filter(paragraphs, x -> x.confirmed), x -> x.family))), ',')"),
         }
     )
-    return a.drop(*(c for c in a.columns if c.startswith("_l_")))
+    return settled(a.drop(*(c for c in a.columns if c.startswith("_l_"))), names)

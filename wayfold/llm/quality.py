@@ -91,7 +91,15 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_lost_percent: int =
         }
     )
     a = a.withColumn("kept", F.expr(f"NOT base_failed AND 100 * lost_chars <= {max_lost_percent} * _q_all"))
-    return a.drop("_q_text", "_q_lines", "_q_facts", "_q_good", "_q_kept", "_q_all", "_q_left")
+    return settled(a.drop("_q_text", "_q_lines", "_q_facts", "_q_good", "_q_kept", "_q_all", "_q_left"), names)
+
+
+def settled(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``df`` with the named columns behind a generator of one row: filters on them stay above it.
+
+    Pushed below, a filter would repeat what it reads of nested expressions, over and over.
+    """
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names), F.inline(F.array(F.struct(*names))))
 
 
 def _java(pattern: str) -> str:

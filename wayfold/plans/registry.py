@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from wayfold.plans import scalar_queries
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def path_lengths(spark, sf_dir):
-    return scalar_queries.queries()["geo_01_haversine"](spark, sf_dir)
+from wayfold.plans import scalar_queries, series_queries
 
+_PARTS = (scalar_queries, series_queries)
 
-def queries():
-    return scalar_queries.queries()
 
+def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_queries.agg_14_path_length(spark, sf_dir)
 
-def oracle_sql():
-    return scalar_queries.oracle_sql()
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for part in _PARTS for k, v in part.queries().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for part in _PARTS for k, v in part.oracle_sql().items()}

@@ -6,9 +6,11 @@ is decided in a prefix tree: the sets to compare with one set, in reversed globa
 are walked in lexicographic order, each continuing from the overlap counted up to where it leaves its predecessor, and a
 subtree is left as soon as what remains can't reach the overlap that is needed.
 
-Copies and large groups never become pairs: equal sets are one node from the start; in each round every shingle names one
-of its nodes, all others are compared with that one only, and links unite classes; pairs within a class are never made.
-When few pairs between different classes are left, all of those are made and decided, so that no link is lost.
+Pairs are never written out. Equal sets are one node from the start. Every shared shingle names the node whose prefix is
+shared most (in a group of near copies the one that was hardly changed) as its hub; the nodes that share a shingle are then
+in the block of its hub, so each pair of candidates meets in one block at least, and a node is in few blocks. First all
+nodes of a block are compared with the hub. Most are linked with it; only those that are not, and all nodes of their
+block, are compared with each other, in parts of a bounded size that are spread over tasks, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +29,18 @@ from wayfold.llm.components import components
 from wayfold.llm.pretokens import mixed, span_hashes
 from wayfold.llm.scratch import Scratch
 
-#: Shingles counted at least so often may be taken for frequent; of those the most frequent, so many at most.
-FREQUENT, MOST_FREQUENT = 64, 1 << 18
+#: Shingles counted at least so often may be taken for frequent; of those the most frequent, so many at most (this bounds
+#: what is broadcast); from this power of two on, the rows of a shingle don't meet in one task.
+FREQUENT, MOST_FREQUENT, HOT = 4, 1 << 18, 8
+#: Prefixes are longer by so many shingles less one; alike sets then share as many, or all if they have fewer.
+COMMON = 4
+#: Groups up to this size are searched for partners exactly.
+SEARCHED = 300
 #: Counting takes the lower half of all hashes: those come first in prefixes, and half of a long prefix decides nothing.
 COUNTED = np.uint64(1 << 63)
 BUCKET_BITS, PRINT_BITS, SET_BYTES = 12, 44, 6
-#: Nodes of one shingle that a task may compare pairwise without further rounds, on average over the shingles.
-FEW = 4
+#: Sets on either side of a part of a block, on average.
+PART = 1000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -134,14 +142,14 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int, often) -> Da
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(sig)
-                size = n - -(-4 * n // 5) + 1
+                size = min(n, n - -(-4 * n // 5) + COMMON)
                 if kind is None:
                     prefixes.append(s[:size].view(np.int64))
                     hot.append((0, 0))
                 else:
                     order = np.lexsort((s, kind))[:size]
                     prefixes.append(s[order].view(np.int64))
-                    hot.append(tuple(np.searchsorted(kind[order], (1, 255)).tolist()))
+                    hot.append(tuple(np.searchsorted(kind[order], (HOT, 255)).tolist()))
             return {"doc_id": ids, "sig": sigs, "n": [len(s) for s in sets], "prefix": prefixes, "hot_from": [a for a, _ in hot], "hot_to": [b for _, b in hot]}
 
         return work
@@ -151,16 +159,24 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int, often) -> Da
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that came together by shingle, those whose shingle has more than one node."""
+    """Of rows that came together by shingle, those with another node whose size and place leave them a link."""
     table = pa.Table.from_batches(list(batches))
-    if table.num_rows:
-        token = table.column(0).to_numpy()
-        order = np.argsort(token, kind="stable")
-        t, sig = token[order], table.column(1).to_numpy()[order]
-        heads = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        more = np.minimum.reduceat(sig, heads) != np.maximum.reduceat(sig, heads)
-        keep = order[np.repeat(more, np.diff(np.append(heads, len(t))))]
-        yield from table.take(pa.array(keep)).combine_chunks().to_batches()
+    if not table.num_rows:
+        return
+    token, sig, n, pos = (table.column(k).to_numpy() for k in range(4))
+    order = np.lexsort((sig, token))
+    order = order[np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (sig[order][1:] != sig[order][:-1])))]
+    token, n, pos = token[order], n[order], pos[order].astype(np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    sizes = np.diff(np.append(heads, len(token)))
+    keep = np.repeat(sizes > SEARCHED, sizes)
+    for k in range(1, min(SEARCHED, int(sizes.max()))):  # each row with the k-th after it in its group
+        i = np.flatnonzero(token[:-k] == token[k:])
+        j = i + k
+        rest = np.minimum(n[i] - pos[i], n[j] - pos[j]) + COMMON - 1
+        fits = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * rest >= 4 * (n[i] + n[j]))
+        keep[i[fits]] = keep[j[fits]] = True
+    yield from table.take(pa.array(order[keep])).combine_chunks().to_batches()
 
 
 def _sets(docs: DataFrame, width: int, often) -> DataFrame:
@@ -234,18 +250,70 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Decides the pairs; ``sets`` lies in buckets, so only what the pairs need of it moves."""
     b = pairs.join(sets.withColumnRenamed("sig", "b").withColumnRenamed("items", "items_b"), "b")
-    both = b.join(sets.withColumnRenamed("sig", "a").withColumnRenamed("items", "items_a"), "a")
-    return both.select("a", "b", "items_a", "items_b").mapInArrow(_decide, "a long, b long")
+    a = pairs.select("a").distinct().join(sets.withColumnRenamed("sig", "a").withColumnRenamed("items", "items_a"), "a")
+    return b.join(a, "a").select("a", "b", "items_a", "items_b").mapInArrow(_decide, "a long, b long")
 
 
-def _fits(x: str, y: str) -> str:
-    """Sizes and places (of the first common shingle) that leave a similarity of 0.8 possible."""
-    need = f"CAST(ceil(4 * ({x}.n + {y}.n) / 9D) AS BIGINT)"
-    return f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) AND least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need}"
+def part_links(probes: list[np.ndarray], leaves: list[np.ndarray], budget: int = 40_000_000) -> list[tuple[int, int]]:
+    """(probe, leaf) that are alike, all probes walking the leaves' prefix tree together.
 
-
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, rounds: int = 8) -> DataFrame:
+    ``counts[d]`` holds, for every probe, the overlap with the path's first ``d`` items; a leaf goes on from the depth that
+    it shares with the path, and its subtree is left when no probe can still reach the overlap that it needs.
+    """
+    alphabet, seen = np.unique(np.concatenate([*probes, *leaves]), return_counts=True)
+    alphabet = alphabet[seen > 1]  # what only one set has is in no overlap
+    if not len(alphabet):
+        return []
+
+    def coded(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(alphabet, x), len(alphabet) - 1)
+        return at[alphabet[at] == x]
+
+    tree = sorted((tuple(coded(x).tolist()), k) for k, x in enumerate(leaves))
+    found: list[tuple[int, int]] = []
+    width = max(1, budget // (4 * len(alphabet)))
+    for low in range(0, len(probes), width):
+        some = probes[low : low + width]
+        holds = np.zeros((len(alphabet), len(some)), np.int32)
+        for i, x in enumerate(some):
+            holds[coded(x), i] = 1
+        sizes = np.array([len(x) for x in some], np.int64)
+        path: tuple[int, ...] = ()
+        counts = [np.zeros(len(some), np.int32)]
+        for items, k in tree:
+            n = len(leaves[k])
+            need = -(-4 * (sizes + n) // 9)
+            need[5 * np.minimum(sizes, n) < 4 * np.maximum(sizes, n)] = np.iinfo(np.int32).max
+            depth = 0
+            for p, q in zip(path[: len(counts) - 1], items):
+                if p != q:
+                    break
+                depth += 1
+            del counts[depth + 1 :]
+            while depth < len(items):
+                if depth % 16 == 0 and not (counts[-1] + np.minimum(sizes - counts[-1], len(items) - depth) >= need).any():
+                    break
+                counts.append(counts[-1] + holds[items[depth]])
+                depth += 1
+            path = items[:depth]
+            if depth == len(items):
+                found += [(low + i, k) for i in np.flatnonzero(counts[-1] >= need).tolist()]
+    return found
+
+
+def _decide_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one part of a block: rows ``sig, probe, items``."""
+    probes, leaves = pdf[pdf["probe"]], pdf[~pdf["probe"]]
+    if not len(probes) or not len(leaves):
+        return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+    p, q = probes["sig"].to_numpy(), leaves["sig"].to_numpy()
+    found = part_links([items_of(x) for x in probes["items"]], [items_of(x) for x in leaves["items"]])
+    return pd.DataFrame([(int(p[i]), int(q[k])) for i, k in found if p[i] != q[k]], columns=["a", "b"], dtype="int64")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
     Words are lower-cased (A-Z) runs without ASCII white space. Sets are linked from a Jaccard similarity of 0.8 on;
@@ -256,58 +324,55 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     often = spark.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, width))
-    nodes = scratch.keep(_nodes(docs, id_col, text_col, width, often))
+    wide = scratch.keep(_nodes(docs, id_col, text_col, width, often), tidy=True)
 
-    rows = nodes.where("prefix IS NOT NULL").select("sig", "n", "hot_from", "hot_to", F.posexplode("prefix").alias("pos", "token")).withColumn("hot", F.expr("pos >= hot_from AND pos < hot_to"))
+    rows = wide.where("prefix IS NOT NULL").select("sig", "n", "hot_from", "hot_to", F.posexplode("prefix").alias("pos", "token")).withColumn("hot", F.expr("pos >= hot_from AND pos < hot_to"))
     rare = rows.where("NOT hot").select("token", "sig", "n", "pos").repartition("token").mapInArrow(_shared, "token long, sig long, n long, pos int")
-    shared = scratch.keep(rare.union(rows.where("hot").select("token", "sig", "n", "pos")).dropDuplicates(["token", "sig"]))
-
-    mine = shared.select("sig").distinct()
-    first = nodes.join(mine, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    met = scratch.keep(rare.union(rows.where("hot").select("token", "sig", "n", "pos")).dropDuplicates(["token", "sig"]), tidy=True)
+    nodes = scratch.keep(wide.select("doc_id", "sig", "n"))
+    scratch.drop(wide)
+    # how much of a set's prefix is shared: copies that were hardly changed come first, and are near to the most others
+    mine = scratch.keep(met.groupBy("sig").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= least({COMMON}, -floor(-4 * n / 5))").select("sig", (F.col("c") / F.col("n")).alias("central")))
+    shared = scratch.keep(met.join(mine, "sig"))
+    scratch.drop(met)
+
+    first = nodes.join(mine.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(first, "doc_id").select("sig", "text")
-    sets = scratch.keep(_sets(texts, width, often).dropDuplicates(["sig"]))
-
-    classes = scratch.keep(mine.select("sig", F.col("sig").alias("class")))
-    for k in range(rounds):
-        now = shared.join(classes, "sig")
-        by_class = now.groupBy("token", "class").agg(F.count("*").alias("c"))
-        by_token = by_class.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("classes")).where("classes > 1")
-        left, n = by_token.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        if left <= FEW * n:
-            break
-        # one node for each shingle and band of sizes; every second round the bands are moved by half of one
-        band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + (k % 2) / 2).alias("band")
-        banded = now.join(by_token.select("token"), "token", "left_semi").select("token", "sig", "n", "pos", "class", band)
-        named = banded.groupBy("token", "band").agg(F.min_by(F.struct("sig", "n", "pos", "class"), F.xxhash64("sig", F.lit(k))).alias("h"))
-        pairs = banded.alias("x").join(named, ["token", "band"]).where("x.class <> h.class AND " + _fits("x", "h")).select(F.col("h.sig").alias("a"), F.col("x.sig").alias("b")).distinct()
-        links = scratch.keep(_links(pairs, sets))
-        fresh = _united(classes, links, scratch)
-        scratch.drop(links)
-        if fresh is None:
-            break
-        scratch.drop(classes)
-        classes = fresh
-    now = shared.join(classes, "sig")
-    pairs = now.alias("x").join(now.alias("y"), "token").where("x.class < y.class AND " + _fits("x", "y")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    links = scratch.keep(_links(pairs, sets))
-    fresh = _united(classes, links, scratch)
-    scratch.drop(links, shared, sets)
-    if fresh is not None:
-        scratch.drop(classes)
-        classes = fresh
+    sets = scratch.bucketed(_sets(texts, width, often), "sig")
+
+    # blocks: each shingle's nodes under its hub
+    hubs = shared.groupBy("token").agg(F.min_by("sig", F.struct(-F.col("central"), "sig")).alias("hub"))
+    blocks = scratch.keep(shared.select("token", "sig").join(hubs, "token").where("hub <> sig").select("hub", "sig").distinct(), tidy=True)
+    near = scratch.keep(_links(blocks.select(F.col("hub").alias("a"), F.col("sig").alias("b")), sets), tidy=True)
+
+    rest = blocks.join(near.select(F.col("a").alias("hub"), F.col("b").alias("sig"), F.lit(True).alias("linked")), ["hub", "sig"], "left")
+    sizes = rest.groupBy("hub").agg(F.count("*").alias("m"), F.count(F.when(F.col("linked").isNull(), 1)).alias("s")).where("s > 0 AND m > 1")
+    sizes = sizes.select("hub", F.ceil(F.col("s") / PART).cast("int").alias("ni"), F.ceil(F.col("m") / PART).cast("int").alias("nj"))
+    rest = rest.join(sizes, "hub").withColumns({"i": F.pmod(F.xxhash64("sig"), "ni").cast("int"), "j": F.pmod(F.xxhash64("sig", F.lit(1)), "nj").cast("int")})
+    probes = rest.where("linked IS NULL").select("hub", "i", F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), "sig", F.lit(True).alias("probe"))
+    leaves = rest.select("hub", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), "j", "sig", F.lit(False).alias("probe"))
+    parts = probes.union(leaves).join(sets, "sig").groupBy("hub", "i", "j").applyInPandas(_decide_part, "a long, b long")
+    others = scratch.keep(parts.distinct(), tidy=True)
+
+    classes = _united(mine.select("sig", F.col("sig").alias("class")), near.union(others), scratch)
+    scratch.forget()
+    scratch.drop(blocks, near, others, shared, sets)
 
     own = nodes.select("doc_id", "sig", "n").join(classes, "sig", "left").select("doc_id", "n", F.coalesce("class", "sig").alias("class"))
     least = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     return own.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _united(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """The classes after the links; None if the links change nothing."""
-    edges = links.join(classes.select(F.col("sig").alias("a"), F.col("class").alias("p")), "a").join(classes.select(F.col("sig").alias("b"), F.col("class").alias("q")), "b")
-    edges = scratch.keep(edges.select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct())
+def _edges(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between the classes of their ends."""
+    ends = links.join(classes.select(F.col("sig").alias("a"), F.col("class").alias("p")), "a").join(classes.select(F.col("sig").alias("b"), F.col("class").alias("q")), "b")
+    return ends.select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct()
+
+
+def _united(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes after all links."""
+    edges = scratch.keep(_edges(classes, links))
     if edges.isEmpty():
-        return None
+        return scratch.keep(classes)
     least = components(edges, scratch)
-    out = scratch.keep(classes.join(least.select(F.col("u").alias("class"), "v"), "class", "left").select("sig", F.coalesce("v", "class").alias("class")))
-    scratch.drop(edges, least)
-    return out
+    return scratch.keep(classes.join(least.select(F.col("u").alias("class"), "v"), "class", "left").select("sig", F.coalesce("v", "class").alias("class")))

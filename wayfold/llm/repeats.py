@@ -9,7 +9,7 @@ Suffixes are ordered only through the threshold, by most-significant-digit passe
 
 Groups that stay equal through the threshold are exactly the repeated windows. Copies of whole texts are one text from the
 start; digits that are frequent within a task are answered there, and digits of very many runs are refined by windows
-that are counted and joined, so that no digit's rows must meet in one task.
+that are counted and listed, so that no digit's rows must meet in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from wayfold.llm.scratch import Scratch
 
 #: Length of the k-gram that is the first digit, in a threshold of 200; runs of one digit in a chunk that make it frequent.
 GRAM, OFTEN = 64, 16
+#: Repeated windows in a list, on average.
+LISTED = 4096
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 22
 DOC, RUN, DONE, ASK, ASK_OFTEN = range(5)
@@ -257,14 +259,30 @@ def _contents(size: int):
 
 
 def _windows(size: int):
-    """(uid, n, a, content) of frequent digits to (hash, uid, n, a), one row for each window."""
-    schema = to_arrow("hash long, uid long, n long, a int")
+    """(digit, content) of frequent digits to (digit, hash), one row for each window."""
+    schema = to_arrow("digit long, hash long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, n, a, content in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for digit, content in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 h = window_hashes(np.frombuffer(content, np.uint8), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([uid] * len(h), pa.int64()), pa.array([n] * len(h), pa.int64()), pa.array(np.arange(a, a + len(h), dtype=np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), digit)), pa.array(h)], schema=schema)
+
+    return run
+
+
+def _met(size: int):
+    """(uid, n, a, content, hashes) to the runs of windows that are among the hashes."""
+    schema = to_arrow("uid long, n long, a int, b int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uid, n, a, content, hashes in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                h = window_hashes(np.frombuffer(content, np.uint8), size).view(np.int64)
+                edge = np.diff(np.concatenate(([0], np.isin(h, np.array(hashes)).astype(np.int8), [0])))
+                found += [(uid, n, a + p, a + q - 1) for p, q in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], schema.field(k).type) for k in range(4)], schema=schema)
 
     return run
 
@@ -315,9 +333,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     content = texts.where("asked IS NOT NULL").select("uid", "n", "text", "asked").mapInArrow(_contents(size), "digit long, uid long, n long, a int, content binary, often boolean")
     cold = content.where("NOT often").drop("often").dropDuplicates(["digit", "uid", "n", "a"]).repartition("digit").mapInArrow(_refine_cold(size), "uid long, n long, a int, b int")
-    windows = content.where("often").select("uid", "n", "a", "content").dropDuplicates(["uid", "n", "a"]).mapInArrow(_windows(size), "hash long, uid long, n long, a int")
-    often = windows.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
-    hot = windows.join(often, "hash", "left_semi").select("uid", "n", "a", F.col("a").alias("b"))
+    many = content.where("often").select("digit", "uid", "n", "a", "content").dropDuplicates(["digit", "uid", "n", "a"])
+    again = many.select("digit", "content").mapInArrow(_windows(size), "digit long, hash long").groupBy("digit", "hash").agg(F.count("*").alias("c")).where("c > 1")
+    # the repeated windows of a digit, in lists of a bounded length, go to its runs: a row for each run and list
+    slots = again.groupBy("digit").agg(F.ceil(F.count("*") / LISTED).cast("int").alias("slots"))
+    listed = again.join(slots, "digit").groupBy("digit", F.expr("pmod(hash, slots)").alias("slot")).agg(F.collect_list("hash").alias("hashes"))
+    hot = many.join(listed, "digit").select("uid", "n", "a", "content", "hashes").mapInArrow(_met(size), "uid long, n long, a int, b int")
     refined = cold.union(hot).groupBy("uid", "n").agg(F.collect_list(F.struct("a", "b")).alias("refined"))
     both = texts.dropDuplicates(["uid", "n"]).join(refined, ["uid", "n"], "left").select("uid", "n", "text", F.concat(F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")), F.coalesce("refined", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs"))
     cut = both.where(F.size("runs") > 0).mapInArrow(_cut(size), "uid long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary")

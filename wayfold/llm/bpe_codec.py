@@ -14,6 +14,7 @@ import os
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,8 +165,6 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with ``decoded`` (bytes) and ``decoded_text`` (null where the bytes aren't UTF-8) added; null ids give nulls."""
-    import pandas as pd
-
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     @F.pandas_udf("binary")

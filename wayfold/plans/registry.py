@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.plans import scalar_queries, series_queries, source_queries
+from wayfold.plans import scalar_queries, series_queries, source_queries, state_queries
 
-_PARTS = (scalar_queries, series_queries, source_queries)
+_PARTS = (scalar_queries, series_queries, source_queries, state_queries)
 
 
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

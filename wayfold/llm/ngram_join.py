@@ -160,8 +160,9 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int, often) -> Da
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows that came together by shingle, those with another node whose size and place leave them a link."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = list(batches)
+    table = pa.Table.from_batches(held) if held else None
+    if not table or not table.num_rows:
         return
     token, sig, n, pos = (table.column(k).to_numpy() for k in range(4))
     order = np.lexsort((sig, token))

@@ -217,8 +217,9 @@ def _refine_cold(size: int):
     schema = to_arrow("uid long, n long, a int, b int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if not table or not table.num_rows:
             return
         order = np.argsort(table.column(0).to_numpy(), kind="stable")
         table = table.take(pa.array(order))

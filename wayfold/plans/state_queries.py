@@ -49,7 +49,7 @@ def st_02_strapdown_eval(spark, sf):
 def st_03_matcher(spark, sf):
     from wayfold.operators.spatial import candidates
 
-    f = fix(spark, sf).where("seq < 30")
+    f = fix(spark, sf)
     seg = relation(spark, sf, "d_seg").withColumn("sb", F.expr(geo.bearing("alat", "alon", "blat", "blon")))
     c = candidates(f, seg, ["session", "seq"], 150.0)
     near = F.struct(F.col("seg_id").alias("seg"), F.expr(geo.along("alat", "blat", "t")).alias("lat"), F.expr(geo.along("alon", "blon", "t")).alias("lon"), "dist", F.col("sb").alias("bearing"), "oneway", "cls")
@@ -115,9 +115,14 @@ def gr_06_components(spark, sf):
 
 @query()
 def gr_05_07_routes(spark, sf):
-    seg = relation(spark, sf, "d_seg").where("seg_id < 320").withColumn("block", F.lit(0))
-    ask = seg.where("seg_id % 16 = 2").select("block", F.col("seg_id").alias("req"), F.col("seg_id").alias("sa"), F.lit(10.0).alias("oa"), F.lit(100).cast("long").alias("sb"), F.lit(20.0).alias("ob"))
-    return graph.routes(ask, seg, "block")
+    # each z15 tile with its eight neighbours is a block; each segment asks for the last one of its own tile and the neighbours
+    tile = lambda x, y: F.concat_ws("/", x, y)
+    seg = relation(spark, sf, "d_seg").withColumns({"tx": F.expr(geo.tile_x("alon", 15)), "ty": F.expr(geo.tile_y("alat", 15))})
+    near = F.explode(F.expr("flatten(transform(array(-1, 0, 1), x -> transform(array(-1, 0, 1), y -> concat_ws('/', tx + x, ty + y))))"))
+    blocks = seg.withColumn("block", near)
+    last = blocks.groupBy("block").agg(F.max("seg_id").alias("sb"))
+    ask = seg.select(tile(F.col("tx"), F.col("ty")).alias("block"), F.col("seg_id").alias("req"), F.col("seg_id").alias("sa"), F.lit(10.0).alias("oa"), F.lit(20.0).alias("ob")).join(last, "block")
+    return graph.routes(ask.select("block", "req", "sa", "oa", "sb", "ob"), blocks, "block")
 
 
 _GPOS = ", ".join(f"{v} AS {k}" for k, v in gnss.constellation_sql("t").items())

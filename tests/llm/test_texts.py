@@ -141,6 +141,46 @@ def test_licences(spark):
         assert [(p["family"], p["confirmed"]) for p in r["paragraphs"]] == [licenses.predict(p["line"]) for p in r["paragraphs"]]
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+}
+
+
+def test_wrapped_licences(spark):
+    rows = [(f, f"A tool.\n\n{t}\n\nThe end.") for f, t in WRAPPED.items()]
+    rows += [(f"# {f}", "# A tool.\n#\n" + "\n".join(f"# {x}" for x in t.split("\n")) + "\n#\nimport os") for f, t in WRAPPED.items()]
+    rows += [("bsd,mit", WRAPPED["mit"] + "\n \n" + WRAPPED["bsd"]), ("cc-by,mit", "Released under the MIT License.\nThe pictures are licensed under\nLicensed under CC BY 4.0."), ("reserved", "All rights are reserved."), ("", "The following text\nis a copy of the source.")]
+    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r["licenses"] for k, r in out.items()} == {k: k.removeprefix("# ") for k in out}
+    assert (out["mit"]["n_paragraphs"], out["mit"]["n_unknown"], out[""]["n_paragraphs"]) == (1, 0, 0)
+    for r in out.values():
+        assert [(p["family"], p["confirmed"]) for p in r["paragraphs"]] == [licenses.predict(p["line"]) for p in r["paragraphs"]]
+
+
+def test_no_confirmed_template_misses_the_scan():
+    rng, pattern = random.Random(5), re.compile(licenses.possible(0.6))
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        words = sorted(set(t.split()))
+        for _ in range(50):
+            part = rng.sample(words, -int(-0.6 * len(words) // 1))
+            assert pattern.search(" ".join(part))
+
+
 def test_urls(spark):
     rows = [(i, f"https://good{i % 5}.example.net/en/{i}?x=1") for i in range(40)] + [(100 + i, f"http://Bad{i % 5}.shop.net/buy/{i}") for i in range(40)]
     rows += [(200, None), (201, "no scheme"), (202, "https://news.site.com/en/5"), (203, "http://cheap.shop.com/buy/7"), (204, "http://a.ORG/fr/"), (205, "http://x.example.net"), (206, "")]

@@ -1,8 +1,9 @@
 """License scans: a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs (lines) that speak of rights are classified by logistic regression over sparse word 1- and 2-grams into licence
-families; what no family reaches with calibrated probability is unknown. A prediction is confirmed if the paragraph holds
-enough of one of the family's templates, word by word. The model is fitted on the driver from the fixed templates below,
+Texts are split into paragraphs at lines without letters and digits; a paragraph is judged with its wrapped lines joined,
+and each of its lines by itself. Those that could hold a notice are classified by logistic regression over sparse word 1-
+and 2-grams into licence families; what no family reaches with calibrated probability is unknown. A prediction is
+confirmed if the paragraph holds enough of one of the family's templates, word by word. The model is fitted on the driver from the fixed templates below,
 so its size is fixed too, and applied within the row: no shuffle, no Python on the executors.
 """
 
@@ -43,6 +44,8 @@ OTHERS = (
     "rights and duties of citizens", "the public domain is a place without fences", "subject to change without notice", "you must accept the license agreement before you continue", "open source software is used by many firms",
 )
 GATE = r"licen[cs]|copyright|\brights reserved|\bpermission|redistribut|public domain|creative commons|\bcc[ -]?(by|0)|\bgpl|spdx"
+#: Between paragraphs: line breaks around lines that are empty or have comment marks only.
+BREAK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 WORDS = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 
 
@@ -115,12 +118,25 @@ def predict(text: str, least: float = 0.5, share: float = 0.6) -> tuple[str, boo
     return family, family != UNKNOWN and any(len(words & set(t.split())) >= share * len(set(t.split())) for t in TEMPLATES[family])
 
 
+def possible(share: float) -> str:
+    """Pattern that every text matches of which some template could be confirmed, and every text that matches the gate.
+
+    Of each template it has so many words, the longest, that the others are too few for ``share``.
+    """
+    words = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        own = sorted(set(t.split()), key=lambda w: (-len(w), w))
+        words |= set(own[: len(own) - math.ceil(share * len(own) - 1e-9) + 1])
+    return f"{GATE}|(?<![a-z0-9])(?:{'|'.join(sorted(map(re.escape, words)))})(?![a-z0-9])"
+
+
 def license_scan(df: DataFrame, text_col: str = "text", least: float = 0.5, share: float = 0.6) -> DataFrame:
     """``df`` with ``paragraphs`` (line, family, probability, confirmed), ``n_paragraphs, n_unknown, licenses`` added.
 
-    ``licenses`` are the confirmed families, sorted, joined by commas. Lines that don't match the gate are not
-    paragraphs about rights. Null and empty texts have none. Rows are judged one by one, repeated ones alike; an empty
-    table stays empty. Columns of ``df`` with a result's name are replaced.
+    ``licenses`` are the confirmed families, sorted, joined by commas. A paragraph is listed, its lines joined by blanks,
+    if it matches the gate or is confirmed; if lines of it are confirmed by themselves, the lines are listed instead, and
+    the paragraph beside the confirmed ones only if it adds a family. Null and empty texts have none. Rows are judged one
+    by one, repeated ones alike; an empty table stays empty. Columns of ``df`` with a result's name are replaced.
     """
     classes, weights, bias, temperature = fitted()
     sql = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
@@ -128,19 +144,27 @@ def license_scan(df: DataFrame, text_col: str = "text", least: float = 0.5, shar
     templates = F.from_json(F.lit(json.dumps({c: [t.split() for t in ts] for c, ts in TEMPLATES.items()})), "map<string,array<array<string>>>")
     names = ("paragraphs", "n_paragraphs", "n_unknown", "licenses")
     a = df.withColumn("_l_text", F.col(f"`{text_col}`").cast("string")).drop(*(c for c in df.columns if c.lower() in names))
-    a = a.withColumn("_l_lines", F.expr(f"filter(split(coalesce(_l_text, ''), '\\n'), l -> lower(l) rlike '{sql(GATE)}')"))
+    gate, maybe = sql(GATE), sql(possible(share))
+    a = a.withColumn("_l_blocks", F.expr(f"CASE WHEN lower(_l_text) rlike '{maybe}' OR lower(replace(_l_text, '\\n', ' ')) rlike '{gate}' THEN filter(split(_l_text, '{sql(BREAK)}'), b -> lower(replace(b, '\\n', ' ')) rlike '{maybe}') ELSE array() END"))
+    a = a.withColumn("_l_split", F.expr("transform(_l_blocks, b -> filter(split(b, '\\n'), l -> l rlike '[\\\\p{L}\\\\p{N}]'))"))
+    a = a.withColumn("_l_lines", F.expr(f"transform(_l_split, u -> CASE WHEN size(u) = 1 THEN u ELSE concat(filter(u, l -> lower(l) rlike '{maybe}'), array(array_join(u, ' '))) END)"))
     start = "array(" + ", ".join(f"{b}D" for b in bias) + ")"
     zero = "array(" + ", ".join("0D" for _ in bias) + ")"
     a = a.withColumns({"_l_weights": F.when(F.size("_l_lines") > 0, table), "_l_templates": F.when(F.size("_l_lines") > 0, templates)})
-    a = a.withColumn("_l_words", F.expr(f"transform(_l_lines, l -> named_struct('l', l, 'w', regexp_extract_all(lower(l), '{sql(WORDS)}', 0)))"))
-    a = a.withColumn("_l_grams", F.expr("transform(_l_words, x -> named_struct('l', x.l, 'w', x.w, 'g', array_distinct(concat(x.w, zip_with(slice(x.w, 1, greatest(size(x.w) - 1, 0)), slice(x.w, 2, greatest(size(x.w) - 1, 0)), (p, q) -> concat(p, ' ', q))))))"))
+    a = a.withColumn("_l_words", F.expr(f"transform(_l_lines, u -> transform(u, l -> named_struct('l', l, 'w', regexp_extract_all(lower(l), '{sql(WORDS)}', 0))))"))
+    a = a.withColumn("_l_grams", F.expr("transform(_l_words, u -> transform(u, x -> named_struct('l', x.l, 'w', x.w, 'g', array_distinct(concat(x.w, zip_with(slice(x.w, 1, greatest(size(x.w) - 1, 0)), slice(x.w, 2, greatest(size(x.w) - 1, 0)), (p, q) -> concat(p, ' ', q)))))))"))
     score = f"aggregate(x.g, {start}, (s, g) -> zip_with(s, coalesce(try_element_at(_l_weights, g), {zero}), (p, q) -> p + q))"
-    a = a.withColumn("_l_scores", F.expr(f"transform(_l_grams, x -> named_struct('l', x.l, 'w', x.w, 's', {score}))"))
+    a = a.withColumn("_l_scores", F.expr(f"transform(_l_grams, u -> transform(u, x -> named_struct('l', x.l, 'w', x.w, 's', {score})))"))
     family = "element_at(array(" + ", ".join(f"'{c}'" for c in classes) + "), CAST(array_position(x.s, array_max(x.s)) AS INT))"
-    a = a.withColumn("_l_named", F.expr(f"transform(_l_scores, x -> named_struct('l', x.l, 'w', x.w, 'f', {family}, 'p', 1 / aggregate(x.s, 0D, (t, v) -> t + exp((v - array_max(x.s)) / {temperature}D))))"))
-    a = a.withColumn("_l_judged", F.expr(f"transform(_l_named, x -> named_struct('line', x.l, 'family', CASE WHEN x.p >= {least}D THEN x.f ELSE '{UNKNOWN}' END, 'probability', x.p, 'w', x.w))"))
+    a = a.withColumn("_l_named", F.expr(f"transform(_l_scores, u -> transform(u, x -> named_struct('l', x.l, 'w', x.w, 'f', {family}, 'p', 1 / aggregate(x.s, 0D, (t, v) -> t + exp((v - array_max(x.s)) / {temperature}D)))))"))
+    a = a.withColumn("_l_judged", F.expr(f"transform(_l_named, u -> transform(u, x -> named_struct('line', x.l, 'family', CASE WHEN x.p >= {least}D THEN x.f ELSE '{UNKNOWN}' END, 'probability', x.p, 'w', x.w)))"))
     confirmed = f"coalesce(exists(try_element_at(_l_templates, x.family), t -> size(array_intersect(t, x.w)) >= {share}D * size(array_distinct(t))), false)"
-    a = a.withColumn("paragraphs", F.expr(f"transform(_l_judged, x -> named_struct('line', x.line, 'family', x.family, 'probability', x.probability, 'confirmed', {confirmed}))"))
+    a = a.withColumn("_l_confirmed", F.expr(f"transform(_l_judged, u -> transform(u, x -> named_struct('line', x.line, 'family', x.family, 'probability', x.probability, 'confirmed', {confirmed})))"))
+    about = f"x -> x.confirmed OR lower(x.line) rlike '{gate}'"
+    lines, whole = "slice(u, 1, size(u) - 1)", "element_at(u, -1)"
+    listed = f"""CASE WHEN size(u) = 1 OR NOT exists({lines}, x -> x.confirmed) THEN filter(array({whole}), {about})
+ WHEN {whole}.confirmed AND NOT exists({lines}, x -> x.confirmed AND x.family = {whole}.family) THEN filter(u, x -> x.confirmed) ELSE filter({lines}, {about}) END"""
+    a = a.withColumn("paragraphs", F.expr(f"flatten(transform(_l_confirmed, u -> {listed}))"))
     a = a.withColumns(
         {
             "n_paragraphs": F.size("paragraphs").cast("long"),

@@ -122,6 +122,30 @@ def test_pseudonymise(spark):
     assert a == b and rows[3]["text"] == "clean text, version 3." and rows[2]["text"] == ""
 
 
+def test_surrogates_lose_no_row():
+    s = pii.Surrogates(b"key")
+    for t in ("Mr. Smith and Mrs. Smith met.", "Herr Jos\u00e9n, Herr Jose\u0301n", "\u039a\u03cd\u03c1\u03b9\u03bf\u03c2 \u03a0\u0391\u03a0\u0391\u03a3"):
+        found = pii.entities(t)
+        assert found and pii.replaced(t, found, s)[0] != t
+    a, b = re.findall(r"Mrs?\. (\w+)", pii.replaced(t := "Mr. Smith and Mrs. Smith met.", pii.entities(t), s)[0])
+    assert a == b != "Smith"
+    t = "Anna Petrova wrote to James Miller, Paul then left. Anna sang."
+    assert [t[a:b] for a, b, _, _ in pii.entities(t)] == ["Anna Petrova", "James Miller"]
+    surnames = [s.of("name", f"m|Bob {w}") for w in (*pii.GIVEN["m"], *pii.GIVEN["f"], "Xavier", "Smith")]
+    assert len(set(surnames)) == 42
+
+
+def test_addresses_keep_their_block():
+    import ipaddress
+
+    s = pii.Surrogates(b"key")
+    for block in ("10.0.0.0/8", "127.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "224.0.0.0/3", "0.0.0.0/8"):
+        net = ipaddress.ip_network(block)
+        made = [s.of("ip", str(net[i * 37])) for i in range(300)]
+        assert len(set(made)) == 300 and all(ipaddress.ip_address(m) in net for m in made)
+    assert all(ipaddress.ip_address(s.of("ip", f"8.8.{i}.4")).is_private is False for i in range(50))
+
+
 def test_licences(spark):
     rng = random.Random(9)
     filler = "here you can find our project notes and data".split()

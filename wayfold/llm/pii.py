@@ -2,7 +2,8 @@
 
 Every detected entity is replaced by an image of itself under a keyed permutation of the strings of its own format: equal
 entities keep one surrogate in all documents (coreference), different ones never share one (distinctness), and length,
-case, punctuation, script and, for names with a title or in a list, gender stay. Check digits stay valid. No table of
+case, punctuation, script and, for given names in a list, gender stay. Names are found behind a title, or where a listed
+given name is followed by capitalised words; other names stay as they are. Addresses stay in their private block, or public. Check digits stay valid. No table of
 entities is kept, so nothing grows with the corpus.
 """
 
@@ -34,6 +35,10 @@ GIVEN = {
     "f": ("Alice", "Anna", "Carla", "Charlotte", "Claire", "Diana", "Elena", "Emma", "Hannah", "Ines", "Julia", "Laura", "Lucia", "Maria", "Marie", "Nora", "Olivia", "Paula", "Sofia", "Sophie"),
     "m": ("Adam", "Alex", "Bruno", "Carlos", "Daniel", "David", "Felix", "Hugo", "Ivan", "Jacob", "James", "Julien", "Lucas", "Marco", "Martin", "Oliver", "Oscar", "Paul", "Pedro", "Thomas"),
 }
+#: Names without a title: a listed given name and one or two capitalised words.
+GIVEN_NAME = re.compile(r"(?<!\w)((?:" + "|".join(sorted((*GIVEN["f"], *GIVEN["m"]), key=lambda n: (-len(n), n))) + r")(?:[ -][^\W\d_a-z][^\W\d_]+){1,2})(?!\w)")
+#: Address blocks of one kind each (prefix, its bits); the rest is public.
+IP_BLOCKS = ((0, 8), (10, 8), (127, 8), (169 << 8 | 254, 16), (172 << 4 | 1, 12), (192 << 8 | 168, 16), (7, 3))
 #: Letters of each script, vowels first.
 SCRIPTS = (("aeiou", "bcdfghjklmnpqrstvwxyz"), ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), ("αεηιουω", "βγδζθκλμνξπρστφχψ"))
 
@@ -83,9 +88,9 @@ class Permuter:
 
     def shaped(self, tweak: str, text: str) -> str:
         """Digits, and the vowels and consonants of each script, each among themselves; the rest and the case stay."""
-        plain = text.lower()
+        plain = [c.lower() for c in text]  # each by itself: a final sigma would be another letter
         classes = ["0123456789", *(x for pair in SCRIPTS for x in pair)]
-        which = [next((k for k, a in enumerate(classes) if c in a), None) if len(c.lower()) == 1 else None for c in text] if len(plain) == len(text) else [None] * len(text)
+        which = [next((k for k, a in enumerate(classes) if c in a), None) if len(c) == 1 else None for c in plain]
         shape = tweak + "|" + "".join("." if k is None else str(k % 10) for k in which)
         made = {}
         for k, a in enumerate(classes):
@@ -127,10 +132,15 @@ class Surrogates:
 
     def _ip(self, s: str) -> str:
         value = int.from_bytes(bytes(map(int, s.split("."))), "big")
-        while True:
+        block = lambda v: next(((p, n) for p, n in IP_BLOCKS if v >> (32 - n) == p), None)
+        if kind := block(value):
+            p, n = kind
+            value = p << (32 - n) | self.permuter.number(f"ip{p}/{n}", value & ((1 << (32 - n)) - 1), 1 << (32 - n))
+        else:
             value = self.permuter.number("ip", value, 1 << 32)
-            if 1 <= value >> 24 < 224 and value >> 24 not in (10, 127):
-                return ".".join(map(str, value.to_bytes(4, "big")))
+            while block(value):
+                value = self.permuter.number("ip", value, 1 << 32)
+        return ".".join(map(str, value.to_bytes(4, "big")))
 
     def _card(self, s: str) -> str:
         digits = re.sub(r"\D", "", s)
@@ -143,14 +153,14 @@ class Surrogates:
         return "".join(next(out) if c.isdigit() else c for c in s)
 
     def _name(self, s: str) -> str:
-        gender, _, words = s.partition("|")
+        words = unicodedata.normalize("NFC", s.partition("|")[2])
         out = []
-        for k, w in enumerate(re.split(r"([ -])", words)):
-            listed = GIVEN[gender]
-            if w in listed and not k:
-                out.append(listed[self.permuter.number(f"given{gender}", listed.index(w), len(listed))])
+        for w in re.split(r"([ -])", words):
+            listed = next((g for g in GIVEN if w in GIVEN[g]), None)
+            if listed:
+                out.append(GIVEN[listed][self.permuter.number(f"given{listed}", GIVEN[listed].index(w), len(GIVEN[listed]))])
             else:
-                made = unicodedata.normalize("NFC", w)
+                made = w
                 while True:  # a made-up word is none of the lists
                     made = self.permuter.shaped("name", made)
                     if made not in GIVEN["f"] and made not in GIVEN["m"]:
@@ -173,9 +183,21 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "name":
                 entity = ("f" if m.group(1) in FEMALE else "m") + "|" + m.group(2)
             taken.append((a, b, kind, entity))
+    for m in GIVEN_NAME.finditer(text):
+        words = re.split(r"([ -])", m.group(1))
+        while len(words) > 1 and not words[-1][0].isupper():
+            words = words[:-2]
+        a, name = m.start(), "".join(words)
+        if len(words) > 1 and not any(x < a + len(name) and a < y for x, y, _, _ in taken):
+            taken.append((a, a + len(name), "name", ("f" if words[0] in GIVEN["f"] else "m") + "|" + name))
     return sorted(taken)
 
 
+def normal(kind: str, entity: str) -> str:
+    """What tells entities of one kind apart: case not in mail addresses, gender and composition not in names."""
+    return entity.lower() if kind == "email" else unicodedata.normalize("NFC", entity.partition("|")[2]) if kind == "name" else entity
+
+
 def replaced(text: str, found: list[tuple[int, int, str, str]], surrogates: Surrogates) -> tuple[str, int]:
     """The text with surrogates, and how many of these equal another entity of the text."""
     out, at, clashes = [], 0, 0
@@ -187,7 +209,7 @@ def replaced(text: str, found: list[tuple[int, int, str, str]], surrogates: Surr
         clashes += new in real
         out += [text[at:a], new]
         at = b
-    if len({(kind, new) for (kind, _), new in made.items()}) < len({(k, e.lower() if k == "email" else e) for k, e in made}):
+    if len({(kind, new) for (kind, _), new in made.items()}) < len({(k, normal(k, e)) for k, e in made}):
         raise ValueError("two entities share a surrogate")
     return "".join(out) + text[at:], clashes
 

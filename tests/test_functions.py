@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, rotation, scalars
-from wayfold.operators import align, gnss, graph, learning, windows
+from wayfold.operators import align, gnss, graph, learning, spatial, windows
 from wayfold.streaming import folds
 
 
@@ -182,3 +182,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q = one.writeStream.format("memory").queryName("smooth").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("smooth").collect())) == sorted(map(tuple, batch))
+
+
+def test_nearest_state_looks_at_every_segment(spark):
+    # 30 roads across the course are nearer than the one along it
+    roads = [(i, 22.3 + 1e-6 * i, 87.2995, 22.3 + 1e-6 * i, 87.3005) for i in range(1, 31)] + [(99, 22.2995, 87.3003, 22.3005, 87.3003)]
+    seg = spark.createDataFrame(roads, "seg_id long, alat double, alon double, blat double, blon double")
+    point = spark.createDataFrame([(1, 22.3, 87.3, 0.0)], "k int, lat double, lon double, bearing double")
+    best = spatial.nearest_state(point, seg, ["k"], 150.0).first()
+    assert (best["seg_id"], best["dir"]) == (99, 1) and 25 < best["cost"] < 40
+    assert spatial.candidates(point, seg, ["k"], 150.0).count() == 24

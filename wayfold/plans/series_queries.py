@@ -152,11 +152,8 @@ _COST = f"dist + {d(0.5)} * abs({geo.bearing_difference('bearing', geo.segment_h
 @query(f"""SELECT session, seq, seg_id, dir, round(cost, 4) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY cost, seg_id, dir DESC) AS k FROM
  (SELECT *, {_COST} AS cost FROM (SELECT c.*, {_BEAR} AS sb, dir FROM ({_cand_sql()}) c, (SELECT 1 AS dir UNION ALL SELECT -1) dd))) WHERE k = 1""")
 def jn_12_nearest_state(spark, sf):
-    f = fix(spark, sf).where("seq < 12")
-    c = spatial.candidates(f, relation(spark, sf, "d_seg"), ["session", "seq"], 150.0).join(f.select("session", "seq", "bearing"), ["session", "seq"])
-    s = c.withColumn("sb", F.expr(_BEAR)).withColumn("dir", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("cost", F.expr(_COST))
-    best = s.groupBy("session", "seq").agg(F.min(F.struct("cost", "seg_id", (-F.col("dir")).alias("nd"))).alias("b"))
-    return best.select("session", "seq", "b.seg_id", (-F.col("b.nd")).alias("dir"), r("b.cost", 4).alias("cost"))
+    best = spatial.nearest_state(fix(spark, sf).where("seq < 12"), relation(spark, sf, "d_seg"), ["session", "seq"], 150.0)
+    return best.select("session", "seq", "seg_id", "dir", r("cost", 4).alias("cost"))
 
 
 _NODES = f"(SELECT seg_id, 0 AS side, {spatial.node_key('alat', 'alon')} AS node FROM {SEG} UNION ALL SELECT seg_id, 1, {spatial.node_key('blat', 'blon')} FROM {SEG})"

@@ -99,6 +99,20 @@ def test_secrets(spark):
     assert [r["text"] for r in secret_scan.redacted(d).orderBy("doc_id").collect()][1:] == [None, "", "the bearer of a token walked on"]
 
 
+def test_novel_secrets_on_both_sides_and_of_letters():
+    rng = random.Random(4)
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    novelty = secret_scan.Novelty(secret_scan.IDENTIFIERS.encode())
+    for form in ("use {} # api key", "{} is the password", "the credential {} here", "the token is {} and the password too"):
+        for key in (made(letters, 24), made(letters + "0123456789", 24)):
+            t = form.format(key)
+            spans = secret_scan.novel_spans(t, secret_scan.base_spans(t), novelty, 0.7, 60, 400)
+            assert [t[a:b] for a, b, _ in spans] == [key]
+    t = "internationalization_of_configuration is no password; controllerEnvironmentDocument"
+    assert not secret_scan.novel_spans(t, [], novelty, 0.7, 60, 400)
+
+
 def test_surrogates_are_distinct_and_consistent():
     s = pii.Surrogates(b"key")
     mails = [f"user{i}.x@host{i % 7}.example.org" for i in range(300)]

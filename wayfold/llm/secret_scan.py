@@ -24,6 +24,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Strings to measure, and the words near which they are measured.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CHARACTER = re.compile(r"[A-Za-z0-9+/_=-]")
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|BEGIN [A-Z ]*KEY", re.I | re.A)
 #: Identifiers and words of ordinary code and configuration: what the compressor knows before it sees a text.
 IDENTIFIERS = (
@@ -68,21 +69,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float, near: int, around: int) -> list[tuple[int, int, str]]:
-    """Incompressible strings within ``near`` characters after a sensitive word, outside the base spans."""
-    out, seen = [], -1
+    """Incompressible strings within ``near`` characters before or after a sensitive word, outside the base spans."""
+    out, seen = [], set()
     for word in SENSITIVE.finditer(text):
+        start = max(0, word.start() - near)
+        while start and CHARACTER.match(text, start - 1):  # back to where the string begins
+            start -= 1
+        places = [m.span() for m in CANDIDATE.finditer(text, start, word.start())]
         for m in CANDIDATE.finditer(text, word.end()):
             if m.start() > word.end() + near:
                 break
-            if m.start() <= seen:
+            places.append(m.span())
+        for i, j in places:
+            if (i, j) in seen:
                 continue
-            seen = m.start()
-            s = m.group()
-            if any(a < m.end() and m.start() < b for a, b, _ in base) or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+            seen.add((i, j))
+            if any(a < j and i < b for a, b, _ in base):
                 continue
-            if novelty(text[max(0, m.start() - around) : m.start()], s, text[m.end() : m.end() + around]) >= least:
-                out.append((*m.span(), "novel"))
-    return out
+            if novelty(text[max(0, i - around) : i], text[i:j], text[j : j + around]) >= least:
+                out.append((i, j, "novel"))
+    kept, end = [], -1
+    for s in sorted(out, key=lambda s: (s[0], -s[1])):
+        if s[1] > end:  # else within an earlier one
+            kept.append(s)
+            end = s[1]
+    return kept
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

@@ -230,6 +230,25 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_whole_urls_by_all_counts(spark):
+    from collections import Counter
+
+    rng = random.Random(8)
+    tail = lambda: "".join(rng.choice("abcdé0123456789?&=#") for _ in range(rng.randint(0, 20)))
+    urls = [f"http://{h}/{tail()}" for h in ("a.org/fr", "Shop.net", "b.com") for _ in range(40)] + ["http://b.com/x?a=1", "http://b.com/x?b=27", "", "plain"]
+    out = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    text = {i: re.sub("(?<=://)[^/?#]*", lambda m: m.group().lower(), u) for i, u in enumerate(urls)}
+    counts = {"allow": Counter(), "block": Counter()}
+    for i, r in out.items():
+        if r["rule"]:
+            s = f"^{text[i]}$"
+            counts[r["verdict"]].update(s[e - k : e] for e in range(2, len(s) + 1) for k in range(1, min(e, 5) + 1))
+    good, bad = (url_filter.Markov(counts[v]) for v in ("allow", "block"))
+    for i, r in out.items():
+        assert r["score"] == pytest.approx(url_filter.difference(good, bad, text[i], 4), abs=1e-9)
+    assert len(out) == len(urls) and out[120]["score"] != out[121]["score"]
+
+
 def test_markov_sums_to_one():
     import math
 

@@ -99,13 +99,40 @@ def brute_repeats(rows, size=200):
     return out
 
 
-@pytest.mark.parametrize("often", [2, 16])
-def test_repeats(docs, monkeypatch, often):
+@pytest.mark.parametrize("often, many", [(2, 4096), (16, 4096), (16, 3)])
+def test_repeats(docs, monkeypatch, often, many):
     monkeypatch.setattr(repeats, "OFTEN", often)
+    monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(repeats, "REFINED", 4096 if many == 3 else repeats.REFINED)
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()}
     assert got == brute_repeats(corpus())
 
 
+def thue_morse(n=11):
+    out = "a"
+    for _ in range(n):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+def test_radix_passes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[2000:2300] = data[100:400]
+    starts = np.arange(len(data) - 29)
+    count = Counter(data[i : i + 30].tobytes() for i in starts)
+    want = {i for i in starts.tolist() if count[data[i : i + 30].tobytes()] > 1}
+    assert set(repeats.repeated_windows(data, starts, np.zeros(len(starts), np.int64), 30).tolist()) == want
+
+
+def test_texts_that_defeat_polynomials(spark):
+    u, v = thue_morse()
+    rows = [(1, u), (2, v), (3, f"{u} one two three four"), (4, f"{v} one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()} == brute_repeats(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_classes(docs).collect()} == brute_classes(rows)
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(4)
     rows = []

@@ -10,22 +10,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 _BASE, _SALT = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans up to this length are hashed together, longer ones each by xxhash: polynomials modulo 2**64 lose width on long ones.
+SHORT = 32
+_SEGMENT = 1 << 18
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2**64."""
+    x = np.full(n, base, np.uint64)
+    x[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(x, dtype=np.uint64)
+
+
+_POWERS = powers(_BASE, SHORT)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,12 +39,44 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of ``codes``, equal for equal content wherever it stands."""
-    up, down = powers(len(codes) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(_SALT) * up[: len(codes)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_SALT))
+    """64-bit hashes of ordered spans (not empty, not overlapping) of ``codes``, equal for equal content wherever it stands."""
+    out = np.zeros(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):  # in stretches that stay in the cache
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _SEGMENT, "right")))
+        base = int(starts[low])
+        a, b = starts[low:high] - base, ends[low:high] - base
+        size = b - a
+        brief = size <= SHORT
+        if brief.any():
+            a, b, size = a[brief], b[brief], size[brief]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)  # place within the span
+            with np.errstate(over="ignore"):
+                terms = (codes[base + at + np.repeat(a, size)].astype(np.uint64) + np.uint64(1)) * np.uint64(_SALT) * _POWERS[at]
+                sums = np.add.reduceat(terms, np.cumsum(size) - size)
+                out[low:high][brief] = mixed(sums + size.astype(np.uint64) * np.uint64(_SALT))
+        for k in (low + np.flatnonzero(~brief)).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(codes[starts[k] : ends[k]].tobytes())
+        low = high
+    return out
+
+
+def differing(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Which spans are not equal to the span that ``like`` names for them."""
+    size = ends - starts
+    out = size != size[like]
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _SEGMENT, "right")))
+        rows = low + np.flatnonzero(~out[low:high] & (like[low:high] != np.arange(low, high)))
+        if len(rows):
+            n = size[rows]
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) - np.repeat(begin, n)
+            unequal = codes[at + np.repeat(starts[rows], n)] != codes[at + np.repeat(starts[like[rows]], n)]
+            out[rows] = np.add.reduceat(unequal.astype(np.int32), begin) > 0
+        low = high
+    return out
 
 
 class Splitter:
@@ -94,6 +128,13 @@ class Splitter:
         ends = np.append(starts[1:], len(codes))
         _, first, number = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
         pieces = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        others: dict[str, int] = {}  # pieces whose hash is that of another
+        for i in np.flatnonzero(differing(codes, starts, ends, first[number])).tolist():
+            piece = whole[starts[i] : ends[i]]
+            if piece not in others:
+                others[piece] = len(pieces)
+                pieces.append(piece)
+            number[i] = others[piece]
         at = np.searchsorted(starts, bounds)
         return pieces, number, np.diff(at)
 

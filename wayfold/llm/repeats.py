@@ -1,15 +1,17 @@
 """Suffix-array dedup: bytes covered by a string of threshold length that starts elsewhere too, over the whole corpus.
 
-Suffixes are ordered only through the threshold, by most-significant-digit passes, and only so far as they stay equal:
+Suffixes are ordered only through the threshold, by most-significant-digit passes, and only so far as they stay equal.
+Dealing every suffix out by its bytes would shuffle the corpus many times over, so the first two digits travel as runs:
 
 1. The first digit of a suffix is the k-gram with the least hash in its window, at its place in the window. Neighbouring
    suffixes share it, so a run of them travels as one row. Runs whose digit occurs once are done.
 2. The second digit is all bytes of the run's windows. Where it is equal, all windows of the run are repeated.
-3. Of a first digit with several second digits, one run of each is refined to single windows, by their bytes.
+3. Of a first digit with several second digits, one run of each is refined: its suffixes are sorted by digits of eight
+   bytes, from the first byte to the threshold, and each pass takes on only the groups that are still equal.
 
 Groups that stay equal through the threshold are exactly the repeated windows. Copies of whole texts are one text from the
-start; digits that are frequent within a task are answered there, and digits of very many runs are refined by windows
-that are counted and listed, so that no digit's rows must meet in one task.
+start; digits that are frequent within a task are answered there, and the suffixes of digits of very many runs are dealt
+out one by one, by digit and window, so that no digit's rows must meet in one task.
 """
 
 from __future__ import annotations
@@ -19,38 +21,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import chunks, to_arrow
-from wayfold.llm.pretokens import _SALT, mixed, powers
+from wayfold.llm.arrow import CHUNK_BYTES, released, slices, to_arrow
+from wayfold.llm.pretokens import _BASE, mixed, powers
 from wayfold.llm.scratch import Scratch
 
-#: Length of the k-gram that is the first digit, in a threshold of 200; runs of one digit in a chunk that make it frequent.
-GRAM, OFTEN = 64, 16
-#: Repeated windows in a list, on average.
-LISTED = 4096
+#: Length of the k-gram that is the first digit, in a threshold of 200; runs of one digit in a chunk that make it frequent;
+#: runs of one digit, of all tasks, beyond which its suffixes are dealt out.
+GRAM, OFTEN, MANY = 64, 16, 4096
+#: Bytes of runs that are refined at once.
+REFINED = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 17
+_UP, _DOWN = powers(_BASE, _SEGMENT + (1 << 12)), powers(pow(_BASE, -1, 2**64), _SEGMENT + (1 << 12))
 DOC, RUN, DONE, ASK, ASK_OFTEN = range(5)
 _FACTS = "kind int, doc_id {id}, uid long, n long, sha string, digit long, second long, a int, b int, at int, often boolean"
+_RUNS = "uid long, n long, a int, b int"
+
+
+def digits_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number that sorts as they do."""
+    if len(data) < 8:
+        return np.zeros(0, np.uint64)
+    return np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
+    """Running sums of a polynomial over hashed groups of eight bytes; of plain bytes, some texts would lose its width."""
+    terms = mixed(digits_of(data))
+    out = np.zeros(len(terms) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.uint64(_SALT) * up[: len(data)], out=out[1:])
+        np.cumsum(terms * _UP[: len(terms)], out=out[1:])
     return out
 
 
-def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows of that size."""
-    sums = _sums(data)
-    _, down = powers(len(data) + 1)
+def _windows_of(sums: np.ndarray, size: int) -> np.ndarray:
+    k = size - 7
     with np.errstate(over="ignore"):
-        return mixed((sums[size:] - sums[:-size]) * down[: len(data) - size + 1])
+        return mixed((sums[k:] - sums[:-k]) * _DOWN[: len(sums) - k])
+
+
+def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of that size (8 or more) of at most a stretch of bytes."""
+    return _windows_of(_sums(data), size)
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,43 +88,86 @@ def runs_of(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     if len(data) > _SEGMENT + size:  # windows of long texts are taken in stretches
         parts = [(o, runs_of(data[o : o + _SEGMENT + size - 1], size, gram)) for o in range(0, len(data) - size + 1, _SEGMENT)]
         return tuple(np.concatenate([p[k] + (o if k > 1 else p[k].dtype.type(0)) for o, p in parts]) for k in range(5))
-    grams = window_hashes(data, gram)
+    sums = _sums(data)
+    grams = _windows_of(sums, gram)
     place = np.arange(len(grams), dtype=np.uint64)
     at = (least_in_windows((grams & ~_PLACE) | place, size - gram + 1) & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.append(first[1:] - 1, len(at) - 1)
     at = at[first]
-    sums, (_, down) = _sums(data), powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        second = mixed((sums[last + size] - sums[first]) * down[first]) + (at - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        second = mixed((sums[last + size - 7] - sums[first]) * _DOWN[first]) + (at - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         second = mixed(second + (last - first).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
     return grams[at], second, first, last, at
 
 
+def repeated_windows(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int) -> np.ndarray:
+    """Of the windows that start at ``starts``, those that equal another one of their group: radix passes over their bytes.
+
+    Each pass sorts by the next eight bytes what was equal so far, and lets go what has become single.
+    """
+    places = np.unique(digits_of(data), return_inverse=True)[1].astype(np.uint64)
+    for depth in (*range(0, size - 7, 8), *([size - 8] if size % 8 else [])):
+        key = groups.astype(np.uint64) << np.uint64(32) | places[starts + depth]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        several = ~(new & np.append(new[1:], True))
+        starts, groups = starts[order][several], (np.cumsum(new) - 1)[several]
+        if not len(starts):
+            break
+    return starts
+
+
+def edges(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of marked ones."""
+    edge = np.diff(np.concatenate(([0], marked.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of strings or binaries, and the bounds of each value in them; nulls are empty."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), bounds
+
+
+def _rows(schema: pa.Schema, size: int, /, **columns) -> pa.RecordBatch:
+    """A batch of ``size`` rows; columns that aren't given are null."""
+    made = [columns.get(f.name) for f in schema]
+    made = [pa.nulls(size, f.type) if c is None else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, schema)]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
 class _Task:
     """What a task remembers: texts, pairs of digits that it has found repeated, first digits that are frequent."""
 
-    def __init__(self, size: int, gram: int):
-        self.size, self.gram = size, gram
+    def __init__(self, size: int, gram: int, schema: pa.Schema):
+        self.size, self.gram, self.schema = size, gram, schema
         self.texts: set = set()
         self.repeated: set[int] = set()
         self.often: set[int] = set()
-
-    def facts(self, ids: list, uids: list, texts: list[str]) -> dict[str, list]:
-        data = [t.encode() for t in texts]
-        out = {k: [] for k in ("kind", "doc_id", "uid", "n", "sha", "digit", "second", "a", "b", "at", "often")}
-        lengths = [len(x) for x in data]
-        rows = len(ids)
-        docs = dict(kind=[DOC] * rows, doc_id=ids, uid=uids, n=lengths, sha=[hashlib.sha256(x).hexdigest() for x in data], digit=uids, second=[None] * rows, a=[None] * rows, b=[None] * rows, at=[None] * rows, often=[None] * rows)
-        for k, v in docs.items():
-            out[k] += v
+        self.count = 0
+
+    def spread(self, n: int) -> np.ndarray:
+        """Keys that deal rows out evenly."""
+        self.count += n
+        return mixed(np.arange(self.count - n, self.count, dtype=np.uint64)).view(np.int64)
+
+    def facts(self, ids: pa.Array, texts: pa.Array, uids: pa.Array) -> Iterator[pa.RecordBatch]:
+        data, bounds = _bytes(texts)
+        views = [data[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        lengths = np.diff(bounds)
+        yield _rows(self.schema, len(ids), kind=np.full(len(ids), DOC), doc_id=ids, uid=uids, n=lengths, sha=[hashlib.sha256(x).hexdigest() for x in views], digit=self.spread(len(ids)))
         for s in (self.texts, self.repeated, self.often):
-            if len(s) > 2_000_000:
+            if len(s) > 500_000:
                 s.clear()
-        new = [i for i in range(rows) if lengths[i] >= self.size and (uids[i], lengths[i]) not in self.texts and not self.texts.add((uids[i], lengths[i]))]
-        found = [runs_of(np.frombuffer(data[i], np.uint8), self.size, self.gram) for i in new]
+        keys = list(zip(uids.to_pylist(), lengths.tolist()))
+        new = [i for i, k in enumerate(keys) if k[1] >= self.size and k not in self.texts and not self.texts.add(k)]
+        found = [runs_of(views[i], self.size, self.gram) for i in new]
         if not found:
-            return out
+            return
         owner = np.repeat(np.array(new), [len(f[0]) for f in found])
         digit, second, a, b, at = (np.concatenate([f[k] for f in found]) for k in range(5))
         with np.errstate(over="ignore"):
@@ -138,154 +197,202 @@ class _Task:
             send[fresh] = True
             ahead[fresh] = True
 
-        def put(kind: int, rows: np.ndarray, spread: bool, often) -> None:
-            who = owner[rows].tolist()
-            out["kind"] += [kind] * len(who)
-            out["doc_id"] += [ids[i] for i in who]
-            out["uid"] += [uids[i] for i in who]
-            out["n"] += [lengths[i] for i in who]
-            out["sha"] += [None] * len(who)
-            out["digit"] += [uids[i] for i in who] if spread else digit[rows].view(np.int64).tolist()
-            out["second"] += (digit if spread else second)[rows].view(np.int64).tolist()
-            out["a"] += a[rows].tolist()
-            out["b"] += b[rows].tolist()
-            out["at"] += at[rows].tolist()
-            out["often"] += often
+        def rows(kind: int, at_rows: np.ndarray, **columns) -> pa.RecordBatch:
+            who = pa.array(owner[at_rows])
+            return _rows(self.schema, len(who), kind=np.full(len(who), kind), doc_id=ids.take(who), uid=uids.take(who), n=lengths[owner[at_rows]], **columns)
 
         sent = np.flatnonzero(send)
         # a run that is repeated here goes with its twin, so that the digit's task counts two
-        put(RUN, sent, False, ahead[sent].tolist())
         twin = np.flatnonzero(send & done)
-        put(RUN, twin, False, [False] * len(twin))
-        put(DONE, np.flatnonzero(done), True, [None] * int(done.sum()))
-        put(ASK_OFTEN, ask, True, [True] * len(ask))
-        return out
+        for x, often in ((sent, ahead[sent]), (twin, np.zeros(len(twin), bool))):
+            yield rows(RUN, x, digit=digit[x].view(np.int64), second=second[x].view(np.int64), a=a[x], b=b[x], at=at[x], often=pa.array(often))
+        over = np.flatnonzero(done)
+        if len(over):  # neighbouring runs that are repeated are one row
+            joins = (owner[over][1:] == owner[over][:-1]) & (a[over][1:] == b[over][:-1] + 1)
+            begin = np.flatnonzero(np.concatenate(([True], ~joins)))
+            end = np.append(begin[1:] - 1, len(over) - 1)
+            yield rows(DONE, over[begin], digit=self.spread(len(begin)), a=a[over[begin]], b=b[over[end]])
+        if len(ask):
+            yield rows(ASK_OFTEN, ask, digit=self.spread(len(ask)), second=digit[ask].view(np.int64), a=a[ask], b=b[ask], at=at[ask], often=pa.array(np.ones(len(ask), bool)))
 
 
 def _spread(size: int, gram: int, ddl: str):
     schema = to_arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = _Task(size, gram)
+        task = _Task(size, gram, schema)
         for batch in batches:
-            at = 0
-            for ids, texts in chunks(batch.column(0), batch.column(1)):
-                out = task.facts(ids, batch.column(2)[at : at + len(ids)].to_pylist(), texts)
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            for part in slices(batch, pc.binary_length(batch.column(1)), CHUNK_BYTES):
+                yield from task.facts(part.column(0), part.column(1), part.column(2))
 
-    return run
+    return released(run)
 
 
 def _second_pass(ddl: str):
-    """Runs that came together by their first digit become finished runs and requests; other rows pass."""
+    """Runs in order of their digits become finished runs and requests; other rows pass.
+
+    Only the runs of one first digit are held, up to a bound: a digit with more of them is a frequent one.
+    """
     schema = to_arrow(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            mine = pa.compute.equal(batch.column(0), RUN)
-            yield batch.filter(pa.compute.invert(mine)).cast(schema)
-            held.append(batch.filter(mine))
-        table = pa.Table.from_batches(held) if held else None
-        if not table or not table.num_rows:
+    def judged(table: pa.Table, many: bool) -> Iterator[pa.RecordBatch]:
+        """The rows of whole first digits, or some pairs of digits of one with ``many``."""
+        if not table.num_rows:
             return
-        digit, second = (table.column(k).to_numpy() for k in ("digit", "second"))
+        d, s = (table.column(k).to_numpy() for k in ("digit", "second"))
         often = table.column("often").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.lexsort((second, digit))
-        d, s = digit[order], second[order]
         new = np.concatenate(([True], d[1:] != d[:-1]))
         head = np.flatnonzero(new)
-        pair = np.flatnonzero(new | np.concatenate(([True], s[1:] != s[:-1])))
-        twice = np.repeat(np.diff(np.append(pair, len(d))) > 1, np.diff(np.append(pair, len(d))))
+        lead = new | np.concatenate(([True], s[1:] != s[:-1]))
+        pair = np.flatnonzero(lead)
+        alike = np.diff(np.append(pair, len(d)))
+        twice = np.repeat(alike > 1, alike)
         sizes = np.diff(np.append(head, len(d)))
-        kinds = np.add.reduceat(np.isin(np.arange(len(d)), pair).astype(np.int64), head)
-        hot = np.repeat(np.logical_or.reduceat(often[order], head), sizes)
-        several = np.repeat(kinds, sizes) > 1
-        lead = np.zeros(len(d), bool)
-        lead[pair] = True
+        hot = np.repeat(np.logical_or.reduceat(often, head), sizes) | many
+        several = np.repeat(np.add.reduceat(lead.astype(np.int64), head), sizes) > 1
         for kind, rows in ((DONE, twice), (ASK, lead & several & ~hot), (ASK_OFTEN, lead & hot)):
-            part = table.take(pa.array(order[np.flatnonzero(rows)]))
+            part = table.filter(pa.array(rows))
             part = part.set_column(0, "kind", pa.array(np.full(part.num_rows, kind, np.int32))).set_column(6, "second", part.column("digit"))
             yield from part.cast(schema).combine_chunks().to_batches()
 
-    return run
-
-
-def _refine_cold(size: int):
-    """Rows (digit, uid, n, a, content) that came together by digit: runs of repeated windows (uid, n, a, b)."""
-    schema = to_arrow("uid long, n long, a int, b int")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if not table or not table.num_rows:
-            return
-        order = np.argsort(table.column(0).to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        digit = table.column(0).to_numpy()
-        uid, n, a = (table.column(k).to_numpy() for k in (1, 2, 3))
-        content = table.column(4)
-        bounds = np.append(np.flatnonzero(np.concatenate(([True], digit[1:] != digit[:-1]))), len(digit)).tolist()
-        found: list[tuple[int, int, int, int]] = []
-        for x, y in zip(bounds, bounds[1:]):
-            if y - x < 2:
+        held, many = None, False  # runs of the last digit so far, and whether it has had too many
+        for batch in batches:
+            mine = pc.equal(batch.column(0), RUN)
+            yield batch.filter(pc.invert(mine)).cast(schema)
+            fresh = pa.Table.from_batches([batch.filter(mine)])
+            table = pa.concat_tables([held, fresh]).combine_chunks() if held is not None else fresh
+            if not table.num_rows:
                 continue
-            hashes = [window_hashes(np.frombuffer(content[i].as_py(), np.uint8), size) for i in range(x, y)]
-            _, number, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-            again = count[number] > 1
-            at = 0
-            for i, h in zip(range(x, y), hashes):
-                edge = np.diff(np.concatenate(([0], again[at : at + len(h)].astype(np.int8), [0])))
-                at += len(h)
-                found += [(uid[i], n[i], a[i] + p, a[i] + q - 1) for p, q in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], schema.field(k).type) for k in range(4)], schema=schema)
+            d, s = (table.column(k).to_numpy() for k in ("digit", "second"))
+            start = len(d) - int(np.argmax(d[::-1] != d[-1])) if d[0] != d[-1] else 0
+            if start:
+                if many:  # the rest of the digit that has had too many comes first
+                    end = int(np.argmax(d != d[0]))
+                    yield from judged(table.slice(0, end), True)
+                    yield from judged(table.slice(end, start - end), False)
+                else:
+                    yield from judged(table.slice(0, start), False)
+                many = False
+            held, s = table.slice(start), s[start:]
+            if held.num_rows > MANY:
+                many = True
+                last = len(s) - int(np.argmax(s[::-1] != s[-1])) if s[0] != s[-1] else 0
+                yield from judged(held.slice(0, last), True)
+                held = held.slice(last)
+                if held.num_rows > 2:  # two of a pair tell as much as all
+                    over = held.slice(2)
+                    yield from over.set_column(0, "kind", pa.array(np.full(over.num_rows, DONE, np.int32))).set_column(6, "second", over.column("digit")).cast(schema).combine_chunks().to_batches()
+                    held = held.slice(0, 2)
+                held = held.combine_chunks()
+        if held is not None:
+            yield from judged(held, many)
+
+    return released(run)
+
+
+def _refine(size: int):
+    """Rows (digit, uid, n, a, content) in order of their digit: runs of repeated windows (uid, n, a, b)."""
+    schema = to_arrow(_RUNS)
+
+    def refined(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows < 2:
+            return
+        batch = table.combine_chunks().to_batches()[0]
+        digit = batch.column(0).to_numpy()
+        data, bounds = _bytes(batch.column(4))
+        windows = np.diff(bounds) - size + 1
+        group = np.repeat(np.cumsum(np.concatenate(([0], digit[1:] != digit[:-1]))), windows)
+        row = np.repeat(np.arange(len(digit)), windows)
+        starts = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows) + bounds[:-1][row]
+        marked = np.zeros(len(data) + 1, bool)
+        marked[repeated_windows(data, starts, group, size)] = True  # a run's last bytes start no window, so runs stay apart
+        first, last = edges(marked)
+        row = np.searchsorted(bounds, first, "right") - 1
+        a = batch.column(3).to_numpy()[row]
+        yield _rows(schema, len(row), uid=batch.column(1).to_numpy()[row], n=batch.column(2).to_numpy()[row], a=a + first - bounds[row], b=a + last - bounds[row])
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ready = [], 0  # batches so far; the last one goes on in the next
+        for batch in batches:
+            for part in slices(batch, pc.binary_length(batch.column(4)), REFINED // 4):
+                held.append(part)
+                ready += part.nbytes
+                if ready < REFINED:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                digit = table.column(0).to_numpy()
+                start = len(digit) - int(np.argmax(digit[::-1] != digit[-1])) if digit[0] != digit[-1] else 0
+                if start:
+                    yield from refined(table.slice(0, start).combine_chunks())
+                    held = table.slice(start).combine_chunks().to_batches()
+                    ready = sum(x.nbytes for x in held)
+        if held:
+            yield from refined(pa.Table.from_batches(held))
+
+    return released(run)
 
 
 def _contents(size: int):
-    """(uid, n, text, requests) to (digit, uid, n, a, content), one row for each request."""
+    """(uid, n, text, requests) to (digit, uid, n, a, content, often), one row for each request."""
     schema = to_arrow("digit long, uid long, n long, a int, content binary, often boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, n, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = (text or "").encode()
-                if asked:
-                    columns = [[r["digit"] for r in asked], [uid] * len(asked), [n] * len(asked), [r["a"] for r in asked], [data[r["a"] : r["b"] + size] for r in asked], [r["often"] for r in asked]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            data, bounds = _bytes(batch.column(2))
+            asked = batch.column(3)
+            at = np.frombuffer(asked.buffers()[1], np.int32)[asked.offset : asked.offset + len(asked) + 1].tolist()
+            digit, a, b, often = (asked.values.field(k) for k in ("digit", "a", "b", "often"))
+            a, b = a.to_numpy(), b.to_numpy()
+            for k, (uid, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                text = data[bounds[k] : bounds[k + 1]].tobytes()
+                for i in range(at[k], at[k + 1], 2048):
+                    j = min(i + 2048, at[k + 1])
+                    content = [text[x : y + size] for x, y in zip(a[i:j].tolist(), b[i:j].tolist())]
+                    yield _rows(schema, j - i, digit=digit.slice(i, j - i), uid=np.full(j - i, uid), n=np.full(j - i, n), a=a[i:j], content=content, often=often.slice(i, j - i))
 
-    return run
+    return released(run)
 
 
 def _windows(size: int):
-    """(digit, content) of frequent digits to (digit, hash), one row for each window."""
-    schema = to_arrow("digit long, hash long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for digit, content in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                h = window_hashes(np.frombuffer(content, np.uint8), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), digit)), pa.array(h)], schema=schema)
-
-    return run
-
-
-def _met(size: int):
-    """(uid, n, a, content, hashes) to the runs of windows that are among the hashes."""
-    schema = to_arrow("uid long, n long, a int, b int")
+    """(digit, uid, n, a, content) of frequent digits to (digit, hash, uid, n, a), one row for each window."""
+    schema = to_arrow("digit long, hash long, uid long, n long, a int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for uid, n, a, content, hashes in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                h = window_hashes(np.frombuffer(content, np.uint8), size).view(np.int64)
-                edge = np.diff(np.concatenate(([0], np.isin(h, np.array(hashes)).astype(np.int8), [0])))
-                found += [(uid, n, a + p, a + q - 1) for p, q in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], schema.field(k).type) for k in range(4)], schema=schema)
-
-    return run
+            for part in slices(batch, pc.binary_length(batch.column(4)), REFINED // 4):
+                data, bounds = _bytes(part.column(4))
+                hashes = [window_hashes(data[i:j], size).view(np.int64) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+                digit, uid, n, a = (np.repeat(part.column(k).to_numpy(), sizes) for k in range(4))
+                place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield _rows(schema, len(a), digit=digit, hash=np.concatenate(hashes), uid=uid, n=n, a=a + place)
+
+    return released(run)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (digit, hash, uid, n, a) in order of digit and hash, those with a neighbour that has the same two."""
+    schema = to_arrow(_RUNS)
+    held = None  # the last row so far, and whether its predecessor was like it
+
+    def out(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+        part = batch.filter(pa.array(keep))
+        return _rows(schema, part.num_rows, uid=part.column(2), n=part.column(3), a=part.column(4), b=part.column(4))
+
+    before = False
+    for batch in batches:
+        batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
+        if not batch.num_rows:
+            continue
+        digit, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        same = (digit[1:] == digit[:-1]) & (h[1:] == h[:-1])
+        keep = np.concatenate(([before], same)) | np.append(same, False)
+        before = bool(keep[-1])
+        yield out(batch.slice(0, batch.num_rows - 1), keep[:-1])
+        held = batch.slice(batch.num_rows - 1)
+    if held is not None:
+        yield out(held, np.array([before]))
 
 
 def _cut(size: int):
@@ -293,35 +400,42 @@ def _cut(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for uid, n, text, runs in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = (text or "").encode()
-                gone = np.zeros(len(data) + 1, np.int64)
-                np.add.at(gone, [r["a"] for r in runs or []], 1)
-                np.add.at(gone, [r["b"] + size for r in runs or []], -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                rows.append((uid, n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    return run
+            for part in slices(batch, pc.binary_length(batch.column(2))):
+                data, bounds = _bytes(part.column(2))
+                runs = part.column(3)
+                at = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1]
+                first, end = runs.values.field("a").to_numpy(), runs.values.field("b").to_numpy() + size
+                removed, spans, sha, kept = [], [], [], []
+                for k in range(part.num_rows):
+                    text = data[bounds[k] : bounds[k + 1]]
+                    gone = np.zeros(len(text) + 1, np.int64)
+                    np.add.at(gone, first[at[k] : at[k + 1]], 1)
+                    np.add.at(gone, end[at[k] : at[k + 1]], -1)
+                    gone = np.cumsum(gone[:-1]) > 0
+                    kept.append(text[~gone].tobytes())
+                    sha.append(hashlib.sha256(kept[-1]).hexdigest())
+                    removed.append(int(gone.sum()))
+                    spans.append(len(edges(gone)[0]))
+                yield _rows(schema, part.num_rows, uid=part.column(0), n=part.column(1), n_removed=removed, n_spans=spans, kept_sha256=sha, kept=kept)
+
+    return released(run)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, gram: int = GRAM, with_kept: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left, if asked for) for each row of ``docs``.
 
     Strings are ``size`` bytes of UTF-8; each byte that lies in one which also starts elsewhere, in any document, goes.
-    Windows are compared by 64-bit hashes within one first digit. A null text is empty; texts shorter than ``size`` stay
-    whole. Repeated rows and copies of a text of ``size`` bytes or more lose all bytes. An empty table gives no rows;
-    other columns are not read.
+    Windows with one first digit are compared by their bytes; runs, and windows of digits with very many runs, by hashes of
+    64 bits beside the digit's. A null text is empty; texts shorter than ``size`` stay whole. Repeated rows and copies of a
+    text of ``size`` bytes or more lose all bytes. Very long texts are hashed in stretches; one text and its runs must fit
+    in a worker. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     kind = docs.select(f"`{id_col}`").dtypes[0][1].replace("bigint", "long")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("uid"))
     ddl = _FACTS.format(id=kind)
-    facts = scratch.keep(rows.mapInArrow(_spread(size, gram, ddl), ddl).repartition("digit").mapInArrow(_second_pass(ddl), ddl))
+    facts = scratch.keep(rows.mapInArrow(_spread(size, gram, ddl), ddl).repartition("digit").sortWithinPartitions("digit", "second").mapInArrow(_second_pass(ddl), ddl))
 
     own = facts.where(F.col("kind") == DOC).select("doc_id", "uid", "n", "sha")
     asked = facts.where(F.col("kind").isin(ASK, ASK_OFTEN)).select("uid", "n", "doc_id", F.struct(F.col("second").alias("digit"), "a", "b", (F.col("kind") == ASK_OFTEN).alias("often")).alias("r"))
@@ -330,18 +444,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     done = done.groupBy("uid", "n").agg(F.min("doc_id").alias("rep"), F.collect_list("r").alias("done"))
     touched = asked.join(done.withColumnRenamed("rep", "rep2"), ["uid", "n"], "full").select("uid", "n", F.coalesce("rep", "rep2").alias("rep"), "asked", "done")
     t = rows.alias("d").join(touched.alias("t"), (F.col("d.uid") == F.col("t.uid")) & (F.octet_length("d.text") == F.col("t.n")) & F.col("d.doc_id").eqNullSafe(F.col("t.rep")))
-    texts = scratch.keep(t.select("t.uid", "t.n", "d.text", "t.asked", "t.done"))
+    texts = scratch.keep(t.select("t.uid", "t.n", "d.text", "t.asked", "t.done").dropDuplicates(["uid", "n"]))
 
     content = texts.where("asked IS NOT NULL").select("uid", "n", "text", "asked").mapInArrow(_contents(size), "digit long, uid long, n long, a int, content binary, often boolean")
-    cold = content.where("NOT often").drop("often").dropDuplicates(["digit", "uid", "n", "a"]).repartition("digit").mapInArrow(_refine_cold(size), "uid long, n long, a int, b int")
-    many = content.where("often").select("digit", "uid", "n", "a", "content").dropDuplicates(["digit", "uid", "n", "a"])
-    again = many.select("digit", "content").mapInArrow(_windows(size), "digit long, hash long").groupBy("digit", "hash").agg(F.count("*").alias("c")).where("c > 1")
-    # the repeated windows of a digit, in lists of a bounded length, go to its runs: a row for each run and list
-    slots = again.groupBy("digit").agg(F.ceil(F.count("*") / LISTED).cast("int").alias("slots"))
-    listed = again.join(slots, "digit").groupBy("digit", F.expr("pmod(hash, slots)").alias("slot")).agg(F.collect_list("hash").alias("hashes"))
-    hot = many.join(listed, "digit").select("uid", "n", "a", "content", "hashes").mapInArrow(_met(size), "uid long, n long, a int, b int")
+    cold = content.where("NOT often").drop("often").repartition("digit").sortWithinPartitions("digit").mapInArrow(_refine(size), _RUNS)
+    windows = content.where("often").select("digit", "uid", "n", "a", "content").mapInArrow(_windows(size), "digit long, hash long, uid long, n long, a int")
+    hot = windows.repartition("digit", "hash").sortWithinPartitions("digit", "hash").mapInArrow(_met, _RUNS)
     refined = cold.union(hot).groupBy("uid", "n").agg(F.collect_list(F.struct("a", "b")).alias("refined"))
-    both = texts.dropDuplicates(["uid", "n"]).join(refined, ["uid", "n"], "left").select("uid", "n", "text", F.concat(F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")), F.coalesce("refined", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs"))
+    both = texts.join(refined, ["uid", "n"], "left").select("uid", "n", "text", F.concat(F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")), F.coalesce("refined", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs"))
     cut = both.where(F.size("runs") > 0).mapInArrow(_cut(size), "uid long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
     copies = own.groupBy("uid", "n").agg(F.count("*").alias("copies")).where(f"copies > 1 AND n >= {size}")

@@ -103,6 +103,7 @@ def brute_repeats(rows, size=200):
 def test_repeats(docs, monkeypatch, often, many):
     monkeypatch.setattr(repeats, "OFTEN", often)
     monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(repeats, "LISTED", 7 if many == 3 else repeats.LISTED)
     monkeypatch.setattr(repeats, "REFINED", 4096 if many == 3 else repeats.REFINED)
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()}
     assert got == brute_repeats(corpus())

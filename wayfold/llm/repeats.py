@@ -10,8 +10,8 @@ Dealing every suffix out by its bytes would shuffle the corpus many times over,
    bytes, from the first byte to the threshold, and each pass takes on only the groups that are still equal.
 
 Groups that stay equal through the threshold are exactly the repeated windows. Copies of whole texts are one text from the
-start; digits that are frequent within a task are answered there, and the suffixes of digits of very many runs are dealt
-out one by one, by digit and window, so that no digit's rows must meet in one task.
+start; digits that are frequent within a task are answered there. The suffixes of digits of very many runs are counted one
+by one, and the repeated ones sent to salted parts of the digit's runs, so that no digit's rows must meet in one task.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from wayfold.llm.scratch import Scratch
 #: Length of the k-gram that is the first digit, in a threshold of 200; runs of one digit in a chunk that make it frequent;
 #: runs of one digit, of all tasks, beyond which its suffixes are dealt out.
 GRAM, OFTEN, MANY = 64, 16, 4096
+#: Repeated windows of a frequent digit in one slot, on average.
+LISTED = 1 << 16
 #: Bytes of runs that are refined at once.
 REFINED = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
@@ -354,45 +356,88 @@ def _contents(size: int):
     return released(run)
 
 
+def _hashed(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of rows (digit, uid, n, a, content), and how many each row has."""
+    data, bounds = _bytes(part.column(4))
+    hashes = [window_hashes(data[i:j], size).view(np.int64) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return np.concatenate([*hashes, np.zeros(0, np.int64)]), np.fromiter(map(len, hashes), np.int64, len(hashes))
+
+
 def _windows(size: int):
-    """(digit, uid, n, a, content) of frequent digits to (digit, hash, uid, n, a), one row for each window."""
-    schema = to_arrow("digit long, hash long, uid long, n long, a int")
+    """(digit, uid, n, a, content) of frequent digits to (digit, hash, c), one row for each window that a batch holds."""
+    schema = to_arrow("digit long, hash long, c long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [_hashed(x, size) for x in slices(batch, pc.binary_length(batch.column(4)), REFINED // 4)]
+            digit = np.repeat(batch.column(0).to_numpy(), np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)]))
+            h = np.concatenate([x for x, _ in parts] or [np.zeros(0, np.int64)])
+            order = np.lexsort((h, digit))
+            digit, h = digit[order], h[order]
+            new = np.flatnonzero(np.concatenate(([True], (digit[1:] != digit[:-1]) | (h[1:] != h[:-1])))) if len(h) else order
+            yield _rows(schema, len(new), digit=digit[new], hash=h[new], c=np.diff(np.append(new, len(h))))
+
+    return released(run)
+
+
+def _dealt(size: int):
+    """(digit, uid, n, a, content, slots, salt) to (digit, salt, slot, uid, n, places, hashes): a row for each slot that windows of a run fall into."""
+    schema = to_arrow("digit long, salt int, slot int, uid long, n long, places array<int>, hashes array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, pc.binary_length(batch.column(4)), REFINED // 4):
-                data, bounds = _bytes(part.column(4))
-                hashes = [window_hashes(data[i:j], size).view(np.int64) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-                digit, uid, n, a = (np.repeat(part.column(k).to_numpy(), sizes) for k in range(4))
-                place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield _rows(schema, len(a), digit=digit, hash=np.concatenate(hashes), uid=uid, n=n, a=a + place)
+                h, sizes = _hashed(part, size)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = part.column(3).to_numpy()[row] + np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                slot = h % part.column(5).to_numpy()[row]
+                order = np.lexsort((place, slot, row))
+                row, slot = row[order], slot[order]
+                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (slot[1:] != slot[:-1])))) if len(h) else order
+                bounds = pa.array(np.append(new, len(h)).astype(np.int32))
+                who = pa.array(row[new])
+                yield _rows(
+                    schema, len(new), digit=part.column(0).take(who), salt=part.column(6).take(who), slot=slot[new], uid=part.column(1).take(who), n=part.column(2).take(who),
+                    places=pa.ListArray.from_arrays(bounds, pa.array(place[order].astype(np.int32))), hashes=pa.ListArray.from_arrays(bounds, pa.array(h[order])),
+                )
 
     return released(run)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (digit, hash, uid, n, a) in order of digit and hash, those with a neighbour that has the same two."""
-    schema = to_arrow(_RUNS)
-    held = None  # the last row so far, and whether its predecessor was like it
+    """Rows (digit, salt, slot, uid, n, places, hashes) in order of the first three, rows without uid first: these hold the repeated hashes.
 
-    def out(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
-        part = batch.filter(pa.array(keep))
-        return _rows(schema, part.num_rows, uid=part.column(2), n=part.column(3), a=part.column(4), b=part.column(4))
-
-    before = False
+    Of the others, the runs (uid, n, a, b) of places whose hash is among them.
+    """
+    schema = to_arrow(_RUNS)
+    key, known = None, np.zeros(0, np.int64)
     for batch in batches:
-        batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
-        if not batch.num_rows:
-            continue
-        digit, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        same = (digit[1:] == digit[:-1]) & (h[1:] == h[:-1])
-        keep = np.concatenate(([before], same)) | np.append(same, False)
-        before = bool(keep[-1])
-        yield out(batch.slice(0, batch.num_rows - 1), keep[:-1])
-        held = batch.slice(batch.num_rows - 1)
-    if held is not None:
-        yield out(held, np.array([before]))
+        for part in slices(batch, pc.list_value_length(batch.column(6)), REFINED // 8):
+            digit, salt, slot = (part.column(k).to_numpy() for k in range(3))
+            lists, places = part.column(6), part.column(5)
+            at = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            to = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1]
+            hashes, where = lists.values.to_numpy(), places.values.to_numpy(zero_copy_only=False)
+            listed = np.asarray(part.column(3).is_null())
+            heads = np.flatnonzero(np.concatenate(([True], (digit[1:] != digit[:-1]) | (salt[1:] != salt[:-1]) | (slot[1:] != slot[:-1]))))
+            for x, y in zip(heads.tolist(), [*heads[1:].tolist(), part.num_rows]):
+                if key != (now := (digit[x], salt[x], slot[x])):
+                    key, known = now, np.zeros(0, np.int64)
+                lead = x + int(listed[x:y].sum())
+                if lead > x:
+                    known = np.unique(np.concatenate((known, hashes[at[x] : at[lead]])))
+                if lead == y or not len(known):
+                    continue
+                h = hashes[at[lead] : at[y]]
+                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                row = np.repeat(np.arange(lead, y), np.diff(at[lead : y + 1]))[hit]
+                place = where[to[lead] : to[y]][hit]
+                if not len(row):
+                    continue
+                first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))))
+                last = np.append(first[1:] - 1, len(row) - 1)
+                who = pa.array(row[first])
+                yield _rows(schema, len(first), uid=part.column(3).take(who), n=part.column(4).take(who), a=place[first], b=place[last])
 
 
 def _cut(size: int):
@@ -448,8 +493,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     content = texts.where("asked IS NOT NULL").select("uid", "n", "text", "asked").mapInArrow(_contents(size), "digit long, uid long, n long, a int, content binary, often boolean")
     cold = content.where("NOT often").drop("often").repartition("digit").sortWithinPartitions("digit").mapInArrow(_refine(size), _RUNS)
-    windows = content.where("often").select("digit", "uid", "n", "a", "content").mapInArrow(_windows(size), "digit long, hash long, uid long, n long, a int")
-    hot = windows.repartition("digit", "hash").sortWithinPartitions("digit", "hash").mapInArrow(_met, _RUNS)
+    # frequent digits: their repeated windows, in slots of a bounded size, meet the windows of their runs, in salts of as many
+    many = content.where("often").select("digit", "uid", "n", "a", "content")
+    again = scratch.keep(many.mapInArrow(_windows(size), "digit long, hash long, c long").groupBy("digit", "hash").agg(F.sum("c").alias("c")).where("c > 1").select("digit", "hash"))
+    runs = many.groupBy("digit").agg(F.ceil(F.count("*") / MANY).cast("int").alias("salts"))
+    dealt = again.groupBy("digit").agg(F.ceil(F.count("*") / LISTED).alias("slots")).join(runs, "digit")
+    lists = again.join(dealt, "digit").groupBy("digit", "salts", F.expr("CAST(pmod(hash, slots) AS INT)").alias("slot")).agg(F.collect_list("hash").alias("hashes"))
+    lists = lists.select("digit", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "slot", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("n"), F.array().cast("array<int>").alias("places"), "hashes")
+    met = many.join(dealt, "digit").select("digit", "uid", "n", "a", "content", "slots", F.expr("CAST(pmod(xxhash64(uid, n, a), salts) AS INT)").alias("salt"))
+    met = met.mapInArrow(_dealt(size), "digit long, salt int, slot int, uid long, n long, places array<int>, hashes array<long>")
+    hot = lists.union(met).repartition("digit", "salt", "slot").sortWithinPartitions("digit", "salt", "slot", F.col("uid").asc_nulls_first()).mapInArrow(released(_met), _RUNS)
     refined = cold.union(hot).groupBy("uid", "n").agg(F.collect_list(F.struct("a", "b")).alias("refined"))
     both = texts.join(refined, ["uid", "n"], "left").select("uid", "n", "text", F.concat(F.coalesce("done", F.array().cast("array<struct<a:int,b:int>>")), F.coalesce("refined", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs"))
     cut = both.where(F.size("runs") > 0).mapInArrow(_cut(size), "uid long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -17,11 +17,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``u, v``: for each vertex of ``edges`` (a, b) but the least of its component, that least one."""
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(most):
+    while True:  # the rounds are about the logarithm of the longest path
         after = scratch.keep(_stars(_stars(now, True), False))
         scratch.drop(now)
         now = after
@@ -29,4 +29,3 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         if sign == seen or not sign[0]:
             return now
         seen = sign
-    raise RuntimeError("components did not settle")

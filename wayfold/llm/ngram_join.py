@@ -21,24 +21,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import map_texts, to_arrow
+from wayfold.llm.arrow import map_texts, released, to_arrow
 from wayfold.llm.components import components
 from wayfold.llm.pretokens import mixed, span_hashes
 from wayfold.llm.scratch import Scratch
 
 #: Shingles counted at least so often may be taken for frequent; of those the most frequent, so many at most (this bounds
-#: what is broadcast); from this power of two on, the rows of a shingle don't meet in one task.
+#: what is broadcast; which ones they are moves shingles within prefixes but changes no link); from this power of two on,
+#: the rows of a shingle don't meet in one task.
 FREQUENT, MOST_FREQUENT, HOT = 4, 1 << 18, 8
 #: Prefixes are longer by so many shingles less one; alike sets then share as many, or all if they have fewer.
 COMMON = 4
 #: Groups up to this size are searched for partners exactly.
 SEARCHED = 300
-#: Counting takes the lower half of all hashes: those come first in prefixes, and half of a long prefix decides nothing.
-COUNTED = np.uint64(1 << 63)
-BUCKET_BITS, PRINT_BITS, SET_BYTES = 12, 44, 6
+#: Counting takes the lower half of all hashes, which come first in prefixes; of sets up to ``BRIEF``, whose prefixes reach
+#: into the upper half, all. In the global order the upper half begins with class ``UPPER``.
+COUNTED, BRIEF, UPPER = np.uint64(1 << 63), 64, 100
+PRINT_BITS, SET_BYTES = 44, 6
+#: Buckets of prints: a bucket is counted in one piece, so their number grows with the input (bytes for each, bits at least and most).
+BUCKET_INPUT, BUCKET_BITS = 1 << 25, (12, 20)
 #: Sets on either side of a part of a block, on average.
 PART = 1000
 
@@ -78,14 +83,16 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Prints of the most frequent counted shingles, sorted, and the power of two of each one's count."""
-    shift, low = np.uint64(64 - PRINT_BITS), np.uint64((1 << (PRINT_BITS - BUCKET_BITS)) - 1)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bits = min(BUCKET_BITS[1], max(BUCKET_BITS[0], (size // BUCKET_INPUT).bit_length()))
+    shift, low = np.uint64(64 - PRINT_BITS), np.uint64((1 << (PRINT_BITS - bits)) - 1)
 
     def make():
         def work(ids, texts):
             sets = shingle_sets(texts, width)
-            prints = np.concatenate([*(s[s < COUNTED] for s in sets), np.zeros(0, np.uint64)]) >> shift
+            prints = np.concatenate([*(s if len(s) <= BRIEF else s[s < COUNTED] for s in sets), np.zeros(0, np.uint64)]) >> shift
             prints.sort()
-            bucket = (prints >> np.uint64(PRINT_BITS - BUCKET_BITS)).astype(np.int64)
+            bucket = (prints >> np.uint64(PRINT_BITS - bits)).astype(np.int64)
             at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
             low_bits = (prints & low).astype("<u4")
             return {"bucket": bucket[at], "prints": [x.tobytes() for x in np.split(low_bits, at[1:])] if len(at) else []}
@@ -93,36 +100,49 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -
         return work
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.setdefault(b, []).append(x)
-        for b, x in parts.items():
-            prints, n = np.unique(np.frombuffer(b"".join(x), "<u4"), return_counts=True)
+        def counted(b: int, parts: list[bytes]) -> pa.RecordBatch:
+            prints, n = np.unique(np.frombuffer(b"".join(parts), "<u4"), return_counts=True)
             often = n >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array((b << (PRINT_BITS - BUCKET_BITS)) | prints[often].astype(np.int64)), pa.array(n[often])], names=["print", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((b << (PRINT_BITS - bits)) | prints[often].astype(np.int64)), pa.array(n[often])], names=["print", "n"])
 
-    dealt = map_texts(docs, id_col, text_col, "bucket long, prints binary", make).repartition("bucket")
-    rows = dealt.mapInArrow(count, "print long, n long").orderBy(F.desc("n"), "print").limit(MOST_FREQUENT).toPandas().sort_values("print")
+        last, parts = None, []
+        for batch in batches:  # in order of the buckets
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != last and parts:
+                    yield counted(last, parts)
+                    parts = []
+                last = b
+                parts.append(x)
+        if parts:
+            yield counted(last, parts)
+
+    dealt = map_texts(docs, id_col, text_col, "bucket long, prints binary", make).repartition("bucket").sortWithinPartitions("bucket")
+    rows = dealt.mapInArrow(released(count), "print long, n long").orderBy(F.desc("n"), "print").limit(MOST_FREQUENT).toPandas().sort_values("print")
     return rows["print"].to_numpy(np.uint64), np.log2(np.maximum(rows["n"].to_numpy(np.float64), 1)).astype(np.uint8)
 
 
 def rank_classes(sets: list[np.ndarray], prints: np.ndarray, powers: np.ndarray) -> list[np.ndarray | None]:
-    """For each set the class of each shingle in the global order (0: rare, then by power of two, 255: not counted); None if none is frequent."""
+    """For each set the class of each shingle in the global order, which goes by class, then by hash; None if it goes by hash alone.
+
+    Lower half: 0, or the power of two of a frequent one's count; upper half: the same, and ``UPPER`` more.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    kind = np.where(flat < COUNTED, np.uint8(0), np.uint8(255))
+    kind = np.where(flat < COUNTED, np.uint8(0), np.uint8(UPPER))
     if len(prints):
         mine = flat >> np.uint64(64 - PRINT_BITS)
         at = np.minimum(np.searchsorted(prints, mine), len(prints) - 1)
-        often = (prints[at] == mine) & (kind == 0)
-        kind[often] = powers[at[often]]
+        kind += np.where(prints[at] == mine, powers[at], np.uint8(0))
     ends = np.cumsum(sizes).tolist()
-    return [k if ((k > 0) & (k < 255)).any() else None for k in (kind[e - n : e] for e, n in zip(ends, sizes.tolist()))]
+    return [k if (k % UPPER).any() else None for k in (kind[e - n : e] for e, n in zip(ends, sizes.tolist()))]
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int, often) -> DataFrame:
-    """``doc_id, sig, n, prefix, hot_from, hot_to``; the prefix only with the first document of a set that a task meets."""
+    """``doc_id, uid, sig, n, dropped, prefix, pos, hot``; the last three only with the first row of a set that a task meets.
+
+    ``uid`` is the hash of the text. Alike sets share so many shingles of their prefixes; where a set's prefix has fewer hot
+    ones, it meets its partners by others too, and its hot ones are dropped.
+    """
 
     def make():
         prints, powers = often.value
@@ -130,74 +150,123 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int, often) -> Da
 
         def work(ids, texts):
             sets = shingle_sets(texts, width)
-            sigs, prefixes, hot = [], [], []
+            out = {k: [] for k in ("sig", "dropped", "prefix", "pos", "hot")}
             for s, kind in zip(sets, rank_classes(sets, prints, powers)):
                 n = len(s)
                 sig = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None
-                sigs.append(sig)
+                out["sig"].append(sig)
                 if not n or sig in seen:
-                    prefixes.append(None)
-                    hot.append((0, 0))
+                    for k in ("dropped", "prefix", "pos", "hot"):
+                        out[k].append(None)
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(sig)
-                size = min(n, n - -(-4 * n // 5) + COMMON)
-                if kind is None:
-                    prefixes.append(s[:size].view(np.int64))
-                    hot.append((0, 0))
-                else:
-                    order = np.lexsort((s, kind))[:size]
-                    prefixes.append(s[order].view(np.int64))
-                    hot.append(tuple(np.searchsorted(kind[order], (HOT, 255)).tolist()))
-            return {"doc_id": ids, "sig": sigs, "n": [len(s) for s in sets], "prefix": prefixes, "hot_from": [a for a, _ in hot], "hot_to": [b for _, b in hot]}
+                least = -(-4 * n // 5)
+                size = min(n, n - least + COMMON)
+                order = np.arange(size) if kind is None else np.lexsort((s, kind))[:size]
+                hot = np.zeros(size, bool) if kind is None else kind[order] % UPPER >= HOT
+                place, n_hot = np.arange(size, dtype=np.int32), int(hot.sum())
+                drop = 0 < n_hot < min(COMMON, least)
+                if drop:
+                    order, place, hot = order[~hot], place[~hot], hot[~hot]
+                out["dropped"].append(n_hot if drop else 0)
+                out["prefix"].append(s[order].view(np.int64))
+                out["pos"].append(place)
+                out["hot"].append(place[hot])
+            return {"doc_id": ids, "uid": [text_hash(t) for t in texts], "n": [len(s) for s in sets], **out}
 
         return work
 
     kind = docs.select(f"`{id_col}`").dtypes[0][1].replace("bigint", "long")
-    return map_texts(docs, id_col, text_col, f"doc_id {kind}, sig long, n long, prefix array<long>, hot_from int, hot_to int", make)
+    return map_texts(docs, id_col, text_col, f"doc_id {kind}, uid long, sig long, n long, dropped int, prefix array<long>, pos array<int>, hot array<int>", make)
+
+
+def text_hash(text: str) -> int:
+    """The same as SQL's ``xxhash64`` of the text."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (h >> 63 << 64)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that came together by shingle, those with another node whose size and place leave them a link."""
-    held = list(batches)
-    table = pa.Table.from_batches(held) if held else None
-    if not table or not table.num_rows:
-        return
-    token, sig, n, pos = (table.column(k).to_numpy() for k in range(4))
-    order = np.lexsort((sig, token))
-    order = order[np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (sig[order][1:] != sig[order][:-1])))]
-    token, n, pos = token[order], n[order], pos[order].astype(np.int64)
-    heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    sizes = np.diff(np.append(heads, len(token)))
-    keep = np.repeat(sizes > SEARCHED, sizes)
-    for k in range(1, min(SEARCHED, int(sizes.max()))):  # each row with the k-th after it in its group
-        i = np.flatnonzero(token[:-k] == token[k:])
-        j = i + k
-        rest = np.minimum(n[i] - pos[i], n[j] - pos[j]) + COMMON - 1
-        fits = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * rest >= 4 * (n[i] + n[j]))
-        keep[i[fits]] = keep[j[fits]] = True
-    yield from table.take(pa.array(order[keep])).combine_chunks().to_batches()
+    """Of rows in order of shingle and node, those with another node whose size and place leave them a link.
+
+    Rows of a shingle are held until there are too many to search; from then on all of them pass.
+    """
+
+    def searched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of whole shingles, none with too many."""
+        token, _, n, pos = (batch.column(k).to_numpy() for k in range(4))
+        pos = pos.astype(np.int64)
+        keep = np.zeros(len(token), bool)
+        sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token)))
+        keep |= np.repeat(sizes > SEARCHED, sizes)
+        for k in range(1, min(SEARCHED, int(sizes.max()))):  # each row with the k-th after it in its group
+            i = np.flatnonzero(token[:-k] == token[k:])
+            j = i + k
+            rest = np.minimum(n[i] - pos[i], n[j] - pos[j]) + COMMON - 1
+            fits = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * rest >= 4 * (n[i] + n[j]))
+            keep[i[fits]] = keep[j[fits]] = True
+        return batch.filter(pa.array(keep))
+
+    held, many, last = None, False, None  # rows of the last shingle; whether it has too many; its last row
+    for batch in batches:
+        token, sig = (batch.column(k).to_numpy() for k in range(2))
+        if not len(token):
+            continue
+        again = np.concatenate(([last == (token[0], sig[0])], (token[1:] == token[:-1]) & (sig[1:] == sig[:-1])))
+        last = (token[-1], sig[-1])
+        batch = batch.filter(pa.array(~again))
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held.num_rows + batch.num_rows else batch
+        if not batch.num_rows:
+            continue
+        token = batch.column(0).to_numpy()
+        start = len(token) - int(np.argmax(token[::-1] != token[-1])) if token[0] != token[-1] else 0
+        if many is not False:  # the rest of the shingle that has too many
+            end = int(np.searchsorted(token != many, True)) if token[-1] != many else len(token)
+            yield batch.slice(0, end)
+            batch, token, start = batch.slice(end), token[end:], max(0, start - end)
+            if not len(token):
+                held = None
+                continue
+            many = False
+        if start:
+            yield searched(batch.slice(0, start))
+        held = batch.slice(start)
+        if held.num_rows > SEARCHED:
+            yield held
+            many, held = token[-1], None
+    if held is not None and held.num_rows:
+        yield searched(held)
 
 
 def _sets(docs: DataFrame, width: int, often) -> DataFrame:
-    """``sig, items``: sets in reversed global order, a fixed number of bytes for each shingle."""
+    """``sig, items``: sets in reversed global order, a fixed number of bytes for each shingle; a task gives each set once."""
 
     def make():
         prints, powers = often.value
+        seen: set[int] = set()
 
         def work(ids, texts):
             sets = shingle_sets(texts, width)
-            out = []
+            sigs, out = [], []
             for s, kind in zip(sets, rank_classes(sets, prints, powers)):
+                sig = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                if sig in seen:
+                    continue
+                if len(seen) >= 500_000:
+                    seen.clear()
+                seen.add(sig)
                 if kind is not None:
                     s = s[np.lexsort((s, kind))]
+                sigs.append(sig)
                 out.append(s[::-1].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes())
-            return {"doc_id": ids, "items": out}
+            return {"doc_id": sigs, "items": out}
 
         return work
 
-    return map_texts(docs, "sig", "text", "doc_id long, items binary", make).withColumnRenamed("doc_id", "sig")
+    return map_texts(docs, "uid", "text", "doc_id long, items binary", make).withColumnRenamed("doc_id", "sig")
 
 
 def items_of(blob: bytes) -> np.ndarray:
@@ -319,26 +388,53 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are lower-cased (A-Z) runs without ASCII white space. Sets are linked from a Jaccard similarity of 0.8 on;
     shingles are compared by hashes (64 bits to find, 48 to decide). Null texts and texts without words have an empty set
-    and stay alone. Equal texts, and rows that share an id, fall into one class (by content); the id of a class is its
-    least ``doc_id``, a null id counting only where it is alone. Empty tables give no rows. Other columns are not read.
+    and stay alone. Classes are those of contents: equal texts fall into one class, and rows that share an id, or have
+    none, are linked by their texts alone. The id of a class is its least ``doc_id``; null if no row of it has one. A very
+    long text must fit in a worker with its shingles. Empty tables give no rows. Other columns are not read.
     """
+    return _classes(docs, id_col, text_col, width).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One row of each class of near duplicates, all columns as they are: that with the least id.
+
+    Rows without words are no duplicates and stay. Of repeated rows one stays, any one; a row without an id stays only if
+    its class has no row with one.
+    """
+    classes = _classes(docs, id_col, text_col, width)
+    spark = docs.sparkSession
+    mine = Scratch(spark, "ngram-join").keep(classes.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("r")).select("r.doc_id", "r.uid"))
+    rows = docs.select("*", F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_uid"))
+    wordless = ~F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
+    first = rows.alias("d").join(mine.alias("m"), (F.col("_uid") == F.col("m.uid")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("m.doc_id")), "left_semi").where(~wordless)
+    rows_of = classes.where("class IS NOT NULL").join(mine.alias("m"), (F.col("m.uid") == classes["uid"]) & classes["doc_id"].eqNullSafe(F.col("m.doc_id")), "left_semi").count()
+    if rows_of > mine.count():  # repeated rows: shuffled only where there are any
+        first = first.dropDuplicates([f"{id_col}", "_uid"])
+    return first.unionByName(rows.where(wordless)).drop("_uid")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``doc_id, uid, class, n_shingles, component_id`` for each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     often = spark.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, width))
     wide = scratch.keep(_nodes(docs, id_col, text_col, width, often), tidy=True)
 
-    rows = wide.where("prefix IS NOT NULL").select("sig", "n", "hot_from", "hot_to", F.posexplode("prefix").alias("pos", "token")).withColumn("hot", F.expr("pos >= hot_from AND pos < hot_to"))
-    rare = rows.where("NOT hot").select("token", "sig", "n", "pos").repartition("token").mapInArrow(_shared, "token long, sig long, n long, pos int")
-    met = scratch.keep(rare.union(rows.where("hot").select("token", "sig", "n", "pos")).dropDuplicates(["token", "sig"]), tidy=True)
-    nodes = scratch.keep(wide.select("doc_id", "sig", "n"))
+    rows = wide.where("prefix IS NOT NULL").select("sig", "n", "dropped", "hot", F.explode(F.arrays_zip("prefix", "pos")).alias("t")).select(F.col("t.prefix").alias("token"), "sig", "n", F.col("t.pos").alias("pos"), F.expr("array_contains(hot, t.pos)").alias("is_hot"), "dropped")
+    rare = rows.where("NOT is_hot").select("token", "sig", "n", "pos", "dropped").repartition("token").sortWithinPartitions("token", "sig").mapInArrow(released(_shared), "token long, sig long, n long, pos int, dropped int")
+    hot = rows.where("is_hot").select("token", "sig", "n", "pos", "dropped").dropDuplicates(["token", "sig"])
+    met = scratch.keep(rare.union(hot), tidy=True)
+    nodes = scratch.keep(wide.select("doc_id", "uid", "sig", "n"))
     scratch.drop(wide)
     # how much of a set's prefix is shared: copies that were hardly changed come first, and are near to the most others
-    mine = scratch.keep(met.groupBy("sig").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= least({COMMON}, -floor(-4 * n / 5))").select("sig", (F.col("c") / F.col("n")).alias("central")))
+    mine = scratch.keep(met.groupBy("sig").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("dropped").alias("dropped")).where(f"c + dropped >= least({COMMON}, -floor(-4 * n / 5))").select("sig", (F.col("c") / F.col("n")).alias("central")))
     shared = scratch.keep(met.join(mine, "sig"))
     scratch.drop(met)
 
-    first = nodes.join(mine.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(first, "doc_id").select("sig", "text")
+    # each set's text, by its hash: that of one row
+    first = nodes.join(mine.select("sig"), "sig").groupBy("sig").agg(F.min(F.struct("doc_id", "uid")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("r.uid").alias("rep_uid"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("uid", F.xxhash64("text"))
+    texts = texts.join(first, (F.col("uid") == F.col("rep_uid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("uid", "text")
     sets = scratch.bucketed(_sets(texts, width, often), "sig")
 
     # blocks: each shingle's nodes under its hub
@@ -359,9 +455,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.forget()
     scratch.drop(blocks, near, others, shared, sets)
 
-    own = nodes.select("doc_id", "sig", "n").join(classes, "sig", "left").select("doc_id", "n", F.coalesce("class", "sig").alias("class"))
-    least = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return own.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    own = nodes.where("sig IS NOT NULL").join(classes, "sig", "left").select("doc_id", "uid", "n", F.coalesce("class", "sig").alias("class"))
+    least = own.groupBy("class").agg(F.min("doc_id").alias("least"))
+    classed = own.join(least, "class").select("doc_id", "uid", "class", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    alone = nodes.where("sig IS NULL").select("doc_id", "uid", F.lit(None).cast("long").alias("class"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return classed.unionByName(alone)
 
 
 def _edges(classes: DataFrame, links: DataFrame) -> DataFrame:

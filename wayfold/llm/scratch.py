@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Scratch:
-    """A folder of Parquet tables below ``spark.checkpoint.dir``; where that is unset, as in tests, below a local one."""
+    """A folder of Parquet tables below ``spark.checkpoint.dir``.
+
+    Where that is unset a session on one machine, as in tests, takes a folder of its own; a cluster has to name one.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = f"file://{tempfile.mkdtemp()}"
         self.spark, self.path, self.count = spark, f"{base}/{name}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame, tidy: bool = False) -> DataFrame:

@@ -35,7 +35,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.wayfold.pii.key", "key of the synthetic tables")  # real texts need a secret of their own
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), key.encode())
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if differences is None:
         return a.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
     out = scratch.keep(a.drop("s").join(_scored(a, differences, order), "row"))
-    steps = out.where(F.col("listed").isNotNull()).groupBy("listed", F.floor(F.col("score") * 100).cast("long").alias("step")).agg(F.count("*").alias("n")).where(F.abs("step") <= 10_000)
+    steps = out.where(F.col("listed").isNotNull()).groupBy("listed", F.floor(F.col("score") * 100).cast("long").alias("step")).agg(F.count("*").alias("n"))
     threshold = calibrated([(r["listed"], r["step"], r["n"]) for r in steps.collect()]) / 100
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
 

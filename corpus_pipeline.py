@@ -16,30 +16,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are."""
+    """Documents that the quality rules keep, as they are; null and empty texts go. Each row is judged by itself, repeated ones alike."""
     return quality.quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates; documents without an id are classes of their own."""
-    classes = ngram_join.similar_classes(docs)
-    others = classes.where("component_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class of near duplicates, by content: of repeated rows, repeated ids and null ids too. Rows without words stay."""
+    return ngram_join.one_of_each(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null texts stay, an empty benchmark takes none away."""
     return decontamination.without_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked; ``n_chars`` counts the new text."""
+    """All documents, secrets masked; ``n_chars`` counts the new text and stays as it is for null."""
     masked = secret_scan.redacted(docs.select(*COLUMNS))
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of the tokens of each document, and the digest of what they decode to."""
+    """Number and digest of the tokens of each document, and the digest of what they decode to; a null text has none."""
     return bpe_codec.digests(docs)
 
 
@@ -56,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages; each but the last is written and read again."""
+    """Applies the stages; each but the last is written and read again. An empty ``documents`` gives no rows."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):

@@ -32,8 +32,8 @@ from wayfold.llm.scratch import Scratch
 #: Length of the k-gram that is the first digit, in a threshold of 200; runs of one digit in a chunk that make it frequent;
 #: runs of one digit, of all tasks, beyond which its suffixes are dealt out.
 GRAM, OFTEN, MANY = 64, 16, 4096
-#: Repeated windows of a frequent digit in one slot, on average.
-LISTED = 1 << 16
+#: Repeated windows of a frequent digit in one slot, on average; parts in which its runs come to a join.
+LISTED, SALTS = 1 << 16, 64
 #: Bytes of runs that are refined at once.
 REFINED = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
@@ -497,10 +497,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     many = content.where("often").select("digit", "uid", "n", "a", "content")
     again = scratch.keep(many.mapInArrow(_windows(size), "digit long, hash long, c long").groupBy("digit", "hash").agg(F.sum("c").alias("c")).where("c > 1").select("digit", "hash"))
     runs = many.groupBy("digit").agg(F.ceil(F.count("*") / MANY).cast("int").alias("salts"))
-    dealt = again.groupBy("digit").agg(F.ceil(F.count("*") / LISTED).alias("slots")).join(runs, "digit")
-    lists = again.join(dealt, "digit").groupBy("digit", "salts", F.expr("CAST(pmod(hash, slots) AS INT)").alias("slot")).agg(F.collect_list("hash").alias("hashes"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")  # the runs of one digit come to joins in parts
+    dealt = again.groupBy("digit").agg(F.ceil(F.count("*") / LISTED).alias("slots")).join(runs, "digit").select("*", salts)
+    lists = again.withColumn("part", F.expr(f"CAST(pmod(hash, {SALTS}) AS INT)")).join(dealt, ["digit", "part"]).groupBy("digit", "salts", F.expr("CAST(pmod(hash, slots) AS INT)").alias("slot")).agg(F.collect_list("hash").alias("hashes"))
     lists = lists.select("digit", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "slot", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("n"), F.array().cast("array<int>").alias("places"), "hashes")
-    met = many.join(dealt, "digit").select("digit", "uid", "n", "a", "content", "slots", F.expr("CAST(pmod(xxhash64(uid, n, a), salts) AS INT)").alias("salt"))
+    met = many.withColumn("part", F.expr(f"CAST(pmod(xxhash64(a, uid), {SALTS}) AS INT)")).join(dealt, ["digit", "part"]).select("digit", "uid", "n", "a", "content", "slots", F.expr("CAST(pmod(xxhash64(uid, n, a), salts) AS INT)").alias("salt"))
     met = met.mapInArrow(_dealt(size), "digit long, salt int, slot int, uid long, n long, places array<int>, hashes array<long>")
     hot = lists.union(met).repartition("digit", "salt", "slot").sortWithinPartitions("digit", "salt", "slot", F.col("uid").asc_nulls_first()).mapInArrow(released(_met), _RUNS)
     refined = cold.union(hot).groupBy("uid", "n").agg(F.collect_list(F.struct("a", "b")).alias("refined"))

@@ -303,6 +303,13 @@ version 2.1 of the License, or (at your option) any later version.""",
 }
 
 
+def test_identifiers_of_licences(spark):
+    rows = [(f"{c}", f"// SPDX-License-Identifier: {i.upper()}\nint main;") for c, ids in licenses.IDENTIFIERS.items() for i in ids]
+    rows += [("", "SPDX-License-Identifier: own"), ("", "see the SPDX list of licenses")]
+    out = licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r["text"], r["licenses"]) for r in out] == [(r["text"], r["doc_id"]) for r in out]
+
+
 def test_wrapped_licences(spark):
     rows = [(f, f"A tool.\n\n{t}\n\nThe end.") for f, t in WRAPPED.items()]
     rows += [(f"# {f}", "# A tool.\n#\n" + "\n".join(f"# {x}" for x in t.split("\n")) + "\n#\nimport os") for f, t in WRAPPED.items()]

@@ -36,6 +36,12 @@ TEMPLATES = {
     "mpl": ("this source code form is subject to the terms of the mozilla public license version 2.0", "licensed under the mozilla public license 2.0"),
     "reserved": ("all rights reserved", "copyright all rights reserved no part of this publication may be reproduced without permission"),
 }
+#: The short identifiers of each family.
+IDENTIFIERS = {
+    "agpl": ("agpl-3.0-only", "agpl-3.0-or-later"), "apache": ("apache-2.0",), "bsd": ("bsd-2-clause", "bsd-3-clause"), "cc-by": ("cc-by-4.0",), "cc-by-nc": ("cc-by-nc-4.0",), "cc-by-sa": ("cc-by-sa-4.0",), "cc0": ("cc0-1.0",),
+    "gpl": ("gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only", "gpl-3.0-or-later"), "lgpl": ("lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0-only"), "mit": ("mit",), "mpl": ("mpl-2.0",),
+}
+TEMPLATES = {c: (*ts, *(f"spdx-license-identifier {i}" for i in IDENTIFIERS.get(c, ()))) for c, ts in TEMPLATES.items()}
 #: Sentences about rights that name no licence; they teach the unknown class.
 OTHERS = (
     "the license plate of the car was not readable", "drivers need a license to drive in this state", "permission to enter was refused", "ask your doctor for permission first",

@@ -23,6 +23,11 @@ def unit(v: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(f"(({x}) / nullif({norm(*v)}, 0))" for x in v)
 
 
+def permuted(v: tuple[str, str, str], order: tuple[int, int, int] = (0, 2, 1)) -> tuple[str, str, str]:
+    """Axes of one file order in the other; the permutation is its own inverse."""
+    return tuple(v[k] for k in order)  # type: ignore[return-value]
+
+
 def missing_w(x: str, y: str, z: str) -> str:
     return f"sqrt(greatest({d(0.0)}, 1 - ({x}) * ({x}) - ({y}) * ({y}) - ({z}) * ({z})))"
 

@@ -26,12 +26,47 @@ def drift_percent(drift_m: str, distance_m: str) -> str:
     return f"(CASE WHEN ({distance_m}) >= 50 THEN 100 * ({drift_m}) / ({distance_m}) END)"
 
 
-def quality(age_s: str, used: str, cn0: str) -> str:
-    return f"(CASE WHEN ({age_s}) IS NULL THEN 'IDLE' WHEN ({age_s}) > 5 THEN 'LOST' WHEN ({used}) < 4 OR ({cn0}) < 20 THEN 'WEAK' ELSE 'GOOD' END)"
+def quality(running: str, age_s: str, used: str, cn0: str) -> str:
+    """Idle when not running; lost without a fix yet (a negative age) or for more than five seconds."""
+    return f"(CASE WHEN NOT ({running}) THEN 'IDLE' WHEN ({age_s}) < 0 OR ({age_s}) > 5 THEN 'LOST' WHEN ({used}) < 4 OR ({cn0}) < 20 THEN 'WEAK' ELSE 'GOOD' END)"
 
 
-def drift_colour(drift_m: str, percent: str) -> str:
-    return f"(CASE WHEN ({percent}) > 10 OR ({drift_m}) > 100 THEN 'red' WHEN ({percent}) > 5 OR ({drift_m}) > 25 THEN 'amber' ELSE 'green' END)"
+def drift_colour(running: str, drift_m: str, percent: str) -> str:
+    """By percent of the way once that is known, by metres before."""
+    by_percent = f"CASE WHEN ({percent}) > 10 THEN 'lost' WHEN ({percent}) > 5 THEN 'weak' ELSE 'good' END"
+    by_metres = f"CASE WHEN ({drift_m}) > 100 THEN 'lost' WHEN ({drift_m}) > 25 THEN 'weak' ELSE 'good' END"
+    return f"(CASE WHEN NOT ({running}) OR ({drift_m}) IS NULL THEN 'idle' WHEN ({percent}) IS NOT NULL THEN {by_percent} ELSE {by_metres} END)"
+
+
+def calibrated(accuracy: str, coverage: str, seconds: str) -> str:
+    """A gesture of four seconds: a quarter of the sphere at high accuracy (3), two fifths at medium (2)."""
+    return f"(({seconds}) >= 4 AND ((({accuracy}) >= 3 AND ({coverage}) >= {d(0.25)}) OR (({accuracy}) >= 2 AND ({coverage}) >= {d(0.4)})))"
+
+
+def uncertainty(metres_since_anchor: str) -> str:
+    return f"({d(0.18)} * ({metres_since_anchor}))"
+
+
+def heading_source(compass: str, gyro: str, model: str) -> tuple[str, str]:
+    """The heading to steer by and where it comes from: compass, else gyro, else the model."""
+    name = f"CASE WHEN ({compass}) IS NOT NULL THEN 'compass' WHEN ({gyro}) IS NOT NULL THEN 'gyro' WHEN ({model}) IS NOT NULL THEN 'model' END"
+    return f"coalesce({compass}, {gyro}, {model})", f"({name})"
+
+
+def moving(speed: str, least: float = 2.0) -> str:
+    return f"(({speed}) > {d(least)})"
+
+
+def accurate(accuracy: str, speed: str, most: float = 30.0) -> str:
+    return f"(({accuracy}) <= {d(most)} AND ({speed}) IS NOT NULL)"
+
+
+def mount_learns(speed: str, turn_dps: str) -> str:
+    return f"(({speed}) >= 4 AND abs({turn_dps}) <= 3)"
+
+
+def speed_weight(speed: str) -> str:
+    return f"(CASE WHEN ({speed}) > 5 THEN 2 ELSE 1 END)"
 
 
 def eta_seconds(distance_m: str, speed: str) -> str:

@@ -18,9 +18,16 @@ def mae(e: Column) -> Column:
     return F.avg(F.abs(e))
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Null where one of the two doesn't vary over the rows that have both."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))  # corr raises for constants
+
+
 def pearson(p: str, t: str) -> Column:
     """Null where the prediction doesn't vary."""
-    return F.when(F.stddev_pop(p) > 1e-9, F.corr(p, t))
+    return F.when(F.stddev_pop(p) > 1e-9, correlation(p, t))
 
 
 def spread_ratio(p: str, t: str) -> Column:
@@ -65,3 +72,8 @@ def extent(lat: str, lon: str, share: float, floor: float) -> dict[str, Column]:
 def standing_bias(x: str, still: Column, least: int = 100) -> Column:
     """Mean while standing; the median of all rows if there are fewer than ``least`` stops."""
     return F.when(F.count(F.when(still, 1)) >= least, F.avg(F.when(still, F.col(x)))).otherwise(F.percentile(x, F.lit(0.5)))
+
+
+def still_mean(x: str, still: Column, least: int = 50) -> Column:
+    """Mean while standing; 0 unless there are more than ``least`` such rows."""
+    return F.when(F.count(F.when(still, 1)) > least, F.avg(F.when(still, F.col(x)))).otherwise(0.0)

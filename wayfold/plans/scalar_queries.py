@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, rotation, scalars
 from wayfold.functions.geo import d
-from wayfold.plans.fixtures import oracle, relation
+from wayfold.plans import scalar_sql
+from wayfold.plans.fixtures import relation
 
 P = ("lat", "lon", "lat0", "lon0")  # a fix and the one before it
 Q = ("x", "y", "z", "w")
@@ -63,40 +64,35 @@ SPECS: dict[str, tuple[str, tuple[str, ...], dict[str, str]]] = {
     "rot_09_axis_azimuth": (_QUAT, ("vec_id",), {f"azimuth{k}": rounded(rotation.axis_azimuth(R, k), 4) for k in (1, 2)}),
     "rot_10_flatter_axis": (_QUAT, ("vec_id",), {"axis": rotation.flatter_axis(R)}),
     "rot_11_vectors": (_QUAT, ("vec_id",), {"n": rounded(rotation.norm("x", "y", "z")), "dot": rounded(rotation.dot(("x", "y", "z"), ("y", "z", "w")))} | _all("c", rotation.cross(("x", "y", "z"), ("y", "z", "w"))) | _all("u", rotation.unit(("x", "y", "z")))),
-    "rot_12_axis_permutation": (_QUAT, ("vec_id",), {"a": rounded("x"), "b": rounded("z"), "c": rounded("y")}),
+    "rot_12_axis_permutation": (_QUAT, ("vec_id",), {c: rounded(x) for c, x in zip("abc", rotation.permuted(("x", "y", "z")))}),
     "rot_15_sphere_cell": (_QUAT, ("vec_id",), {"cell": rotation.sphere_cell("x", "y", "z")}),
     "scl_01_units": (_FIX, ("session", "seq"), {"kmh": rounded("speed * 36 / 10"), "ms": rounded("speed * 10 / 36"), "rad": rounded("radians(bearing)"), "si": rounded(f"speed * {d(9.80665)}"), "s": rounded(f"(seq * 100000000) / {d(1e9)}")}),
     "scl_02_activations": (_FIX, ("session", "seq"), {"softplus": rounded(scalars.softplus("speed - 7")), "sigmoid": rounded(scalars.sigmoid("speed - 7")), "sd": rounded("exp((speed - 7) / 2)")}),
     "scl_03_fusion_weight": (_FIX, ("session", "seq"), {"weight": rounded(scalars.fusion_weight("speed - 7"))}),
     "scl_04_clamp": (_FIX, ("session", "seq"), {"v": rounded(geo.clamp("speed", d(2.0), d(9.0)))}),
     "scl_05_drift_percent": (_FIX, ("session", "seq"), {"percent": rounded(scalars.drift_percent("acc", "speed * 20"))}),
-    "scl_06_quality": (_FIX, ("session", "seq"), {"quality": scalars.quality("CASE WHEN seq % 17 = 0 THEN NULL ELSE speed END", "used", "acc")}),
-    "scl_07_drift_colour": (_FIX, ("session", "seq"), {"colour": scalars.drift_colour("acc * 2", "speed")}),
-    "scl_11_label": ("SELECT p_partkey, concat(p_name, ' (', p_type, ')') AS s FROM {part} f", ("p_partkey",), {"label": "substr(s, 1, strpos(s, ' (') - 1)"}),
-    "scl_12_url_template": ("SELECT p_partkey, p_size FROM {part} f", ("p_partkey",), {"url": "replace(replace(replace('https://tile.example.org/{{z}}/{{x}}/{{y}}.png', '{{z}}', '15'), '{{x}}', CAST(p_partkey AS VARCHAR(20))), '{{y}}', CAST(p_size AS VARCHAR(20)))"}),
+    "scl_06_quality": (_FIX, ("session", "seq"), {"quality": scalars.quality("seq % 17 > 0", "speed - 1", "used", "acc")}),
+    "scl_07_drift_colour": (_FIX, ("session", "seq"), {"colour": scalars.drift_colour("seq % 13 > 0", "CASE WHEN seq % 11 > 0 THEN acc * 4 END", scalars.drift_percent("speed", "acc * 6"))}),
     "scl_13_oneway": ("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'true' WHEN 2 THEN '1' ELSE 'no' END AS tag FROM {part} f", ("p_partkey",), {"oneway": scalars.one_of("tag", ("yes", "true", "1"))}),
-    "scl_14_cache_key": ("SELECT p_partkey, p_name FROM {part} f", ("p_partkey",), {"key": "substr(sha1(p_name), 1, 8)"}),
     "scl_15_eta": (_FIX, ("session", "seq"), {"eta": rounded(scalars.eta_seconds("acc * 2000", "speed - 5"))}),
     "scl_16_progress": (_FIX, ("session", "seq"), {"percent": scalars.progress_percent("seq", "used * 30")}),
     "scl_17_correction_sign": (_FIX, ("session", "seq"), {"turn": rounded(scalars.correction_sign("bearing", "acc * 11"))}),
     "scl_18_orientation_azimuth": (_QUAT, ("vec_id",), {"azimuth": rounded(f"degrees(atan2({R['r01']}, {R['r11']}))", 4)}),
-    "flt_01_accurate": (_FIX + " WHERE acc <= 30 AND speed IS NOT NULL", ("session", "seq"), {"acc": "acc"}),
-    "flt_02_moving": (_FIX + f" WHERE speed > {d(2.0)}", ("session", "seq"), {"speed": "speed"}),
+    "flt_01_accurate": (_FIX + f" WHERE {scalars.accurate('acc', 'speed')}", ("session", "seq"), {"acc": "acc"}),
+    "flt_02_moving": (_FIX, ("session", "seq"), {f"over_{n}": scalars.moving("speed", x) for n, x in (("2", 2.0), ("1_5", 1.5), ("1", 1.0), ("0_5", 0.5))}),
     "flt_03_healthy": (_FIX, ("session", "seq"), {"healthy": scalars.healthy("used", "acc")}),
     "flt_06_drivable": (_SEGS + f" WHERE {scalars.one_of('cls', scalars.DRIVABLE)}", ("seg_id",), {"trunk": scalars.one_of("cls", scalars.TRUNK)}),
     "flt_09_run_reason": (_FIX, ("session", "seq"), {"reason": scalars.run_reason("speed / 10", "acc / 40", "bearing", 0.5)}),
-    "flt_13_elevation_mask": (_FIX + " WHERE acc >= 15", ("session", "seq"), {"elevation": "acc"}),
-    "flt_14_covariance_gate": (_FIX + f" WHERE sqrt(acc) <= {d(4.0)}", ("session", "seq"), {"sigma": rounded("sqrt(acc)")}),
     "flt_15_disturbed": (_FIX, ("session", "seq"), {"disturbed": scalars.disturbed("speed + 40", d(45.0))}),
-    "flt_16_mount_gate": (_FIX + " WHERE speed >= 4 AND acc / 10 <= 3", ("session", "seq"), {"speed": "speed"}),
-    "flt_21_calibrated": (_FIX, ("session", "seq"), {"done": "(used >= 2 AND speed / 15 >= CAST(0.4 AS DOUBLE) AND acc >= 4)"}),
+    "flt_16_mount_gate": (_FIX + f" WHERE {scalars.mount_learns('speed', 'acc / 5 - 4')}", ("session", "seq"), {"speed": "speed"}),
+    "flt_21_calibrated": (_FIX, ("session", "seq"), {"done": scalars.calibrated("used % 4", "speed / 20", "acc / 4")}),
     "flt_22_moved_half_radius": (_FIX2, ("session", "seq"), {"refresh": f"({geo.haversine(*P)} > acc / 2)"}),
     "st_01d_heading_correction": (_FIX, ("session", "seq"), {"turn": rounded(scalars.heading_correction("bearing", "acc * 11", d(0.35), "speed"))}),
-    "st_01g_uncertainty": (_FIX, ("session", "seq"), {"sigma": rounded(f"{d(0.18)} * seq * speed")}),
-    "st_16_heading_priority": (_FIX, ("session", "seq"), {"heading": "coalesce(CASE WHEN used > 5 THEN bearing END, CASE WHEN used > 2 THEN acc END, speed)", "source": "CASE WHEN used > 5 THEN 'compass' WHEN used > 2 THEN 'gyro' ELSE 'model' END"}),
+    "st_01g_uncertainty": (_FIX, ("session", "seq"), {"sigma": rounded(scalars.uncertainty("seq * speed"))}),
+    "st_16_heading_priority": (_FIX, ("session", "seq"), dict(zip(("heading", "source"), scalars.heading_source("CASE WHEN used > 5 THEN bearing END", "CASE WHEN used > 2 THEN acc END", "CASE WHEN used > 0 THEN speed END")))),
     "ml_09_losses": ("SELECT * FROM {d_pred} f", ("i",), {"nll": rounded(scalars.gaussian_nll("pred", "truth / 10 - 3", "truth"), 5), "bce": rounded(scalars.bce_with_logits("pred - truth", "CASE WHEN truth > 25 THEN 1 ELSE 0 END", d(2.5)), 5)}),
     "ml_10_fine_tune_loss": ("SELECT * FROM {d_pred} f", ("i",), {"loss": rounded(f"{scalars.gaussian_nll('pred', d(0.2), 'truth')} + 2 * {scalars.bce_with_logits('pred - truth', 'CASE WHEN truth > 25 THEN 1 ELSE 0 END', d(1.0))} + {scalars.smooth_l1('pred', 'truth')} + {d(0.5)} * {scalars.sigmoid('truth - pred')} * pred * pred", 4)}),
-    "ml_21_speed_weights": ("SELECT * FROM {d_pred} f", ("i",), {"weight": "CASE WHEN truth > 5 THEN 2 ELSE 1 END"}),
+    "ml_21_speed_weights": ("SELECT * FROM {d_pred} f", ("i",), {"weight": scalars.speed_weight("truth / 5")}),
 }
 
 
@@ -107,23 +103,15 @@ def _spark(name: str) -> Callable[[SparkSession, str], DataFrame]:
         frames = {r: relation(spark, sf_dir, r) for r in ("d_fix", "d_imu", "d_quat", "d_seg", "d_pred") if f"{{{r}}}" in source}
         if "{part}" in source:
             frames["part"] = spark.read.parquet(f"{sf_dir}/part.parquet")
-        return spark.sql(source, **frames).select(*keys, *(F.expr(e.replace("{{", "{").replace("}}", "}").replace("strpos(s, ' (')", "instr(s, ' (')")).alias(c) for c, e in columns.items()))
+        return spark.sql(source, **frames).select(*keys, *(F.expr(e).alias(c) for c, e in columns.items()))
 
     run.__name__ = name
     return run
 
 
-def _oracle(name: str) -> str:
-    source, keys, columns = SPECS[name]
-    for r in ("d_fix", "d_imu", "d_quat", "d_seg", "d_pred"):
-        source = source.replace(f"{{{r}}}", f"({oracle(r)})")
-    source = source.replace("{part}", "part")
-    return f"SELECT {', '.join(keys)}, " + ", ".join(f"{e.replace('{{', '{').replace('}}', '}')} AS {c}" for c, e in columns.items()) + f" FROM ({source}) src"
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _spark(name) for name in SPECS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _oracle(name).replace("sha1(p_name)", "sha1(p_name)") for name in SPECS}
+    return {name: scalar_sql.oracle_of(name) for name in SPECS}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,17 +48,19 @@ def visible(sats: DataFrame, lat: str = "lat", lon: str = "lon", mask_deg: float
     return out.withColumn("elevation", F.degrees(F.asin("lu"))).where(F.col("elevation") >= mask_deg)
 
 
-def chosen(sats: DataFrame, epoch: list[str], order: str, n: int) -> DataFrame:
-    """The first ``n`` satellites of each epoch: by ``elevation``, along the travel (``dot``) or by a hash (``random``)."""
+def chosen(sats: DataFrame, epoch: list[str], order: str, n: int, place: str = "") -> DataFrame:
+    """The first ``n`` satellites of each epoch: by ``elevation``, along the travel (``dot``) or by a hash (``random``); with their ``place`` if it has a name."""
     by = {"elevation": F.desc("elevation"), "dot": F.desc(F.abs("dot")), "random": F.xxhash64(*epoch, "sat")}[order]
     w = Window.partitionBy(*epoch).orderBy(by, "sat")
-    return sats.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    out = sats.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    return out.withColumnRenamed("_k", place) if place else out.drop("_k")
 
 
 def solve(sats: DataFrame, epoch: list[str], mode: str) -> DataFrame:
     """Speed and its sigma for a unit of noise from range rates ``rate``, directions ``le, ln, lu`` and course (sin, cos in ``ue, un``).
 
     ``coast``: speed along the course, clock known; ``nhc``: with clock drift; ``flat``: two speeds and drift; ``full``: three.
+    All are sums by epoch; the last two solve their normal equations for a batch of epochs at once, null where these are singular.
     """
     if mode == "coast":
         h = F.col("le") * F.col("ue") + F.col("ln") * F.col("un")
@@ -66,16 +70,73 @@ def solve(sats: DataFrame, epoch: list[str], mode: str) -> DataFrame:
         n, s, ss, r, sr = F.count("*"), F.sum(h), F.sum(h * h), F.sum("rate"), F.sum(h * F.col("rate"))
         det = F.nullif(n * ss - s * s, F.lit(0.0))
         return sats.groupBy(*epoch).agg(((n * sr - s * r) / det).alias("speed"), F.sqrt(F.abs(n / det)).alias("sigma"))
-    columns = ["le", "ln"] if mode == "flat" else ["le", "ln", "lu"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.column_stack([pdf[columns].to_numpy(), np.ones(len(pdf))])
-        out = pdf[epoch].iloc[:1].copy()
-        out["speed"] = out["sigma"] = None
-        if np.linalg.matrix_rank(a) == a.shape[1]:
-            x = np.linalg.lstsq(a, pdf["rate"].to_numpy(), rcond=None)[0]
-            out["speed"], out["sigma"] = float(np.hypot(x[0], x[1])), float(np.sqrt(np.trace(np.linalg.inv(a.T @ a)[:2, :2])))
-        return out
+    columns = ["le", "ln", "1"] if mode == "flat" else ["le", "ln", "lu", "1"]
+    size = len(columns)
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    x = [F.lit(1.0) if c == "1" else F.col(c) for c in columns]
+    sums = sats.groupBy(*epoch).agg(*(F.sum(x[i] * x[j]).alias(f"_a{i}{j}") for i, j in upper), *(F.sum(x[i] * F.col("rate")).alias(f"_b{i}") for i in range(size)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            a, b = np.zeros((len(pdf), size, size)), pdf[[f"_b{i}" for i in range(size)]].to_numpy(float)
+            for i, j in upper:
+                a[:, i, j] = a[:, j, i] = pdf[f"_a{i}{j}"]
+            least = np.linalg.eigvalsh(a)
+            ok = least[:, 0] > 1e-10 * least[:, -1]
+            inverse = np.linalg.inv(np.where(ok[:, None, None], a, np.eye(size)))
+            v = np.einsum("nij,nj->ni", inverse, b)
+            out = pdf[epoch].copy()
+            out["speed"] = np.where(ok, np.hypot(v[:, 0], v[:, 1]), np.nan)
+            out["sigma"] = np.where(ok, np.sqrt(inverse[:, 0, 0] + inverse[:, 1, 1]), np.nan)
+            yield out
 
     kinds = dict(sats.dtypes)
-    return sats.groupBy(*epoch).applyInPandas(run, ", ".join(f"{e} {kinds[e]}" for e in epoch) + ", speed double, sigma double")
+    out = sums.mapInPandas(run, ", ".join(f"{e} {kinds[e]}" for e in epoch) + ", speed double, sigma double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("speed", "sigma")})
+
+
+def accepted(estimates: DataFrame, most: float) -> DataFrame:
+    """Estimates whose own sigma is within the gate: beyond it they are divisions by a small number."""
+    return estimates.where(F.col("sigma") <= most)
+
+
+#: Fixed values of the sweep: noise of a range rate, of the clock's drift, of the course, gate of the sigma, elevation mask.
+SWEEP = dict(rate=0.3, drift=1.0, course_deg=3.0, sigma=2.0, mask=15.0)
+NEEDS = {"coast": 1, "nhc": 2, "flat": 3, "full": 4}
+
+
+def _noise(salt: int, *keys: str):
+    """A standard normal that hangs on the keys alone."""
+    u = lambda k: (F.pmod(F.xxhash64(*keys, F.lit(salt), F.lit(k)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+    return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+
+
+def sweep(epochs: DataFrame, trials: int = 2, most: int = 4) -> DataFrame:
+    """``strategy, mode, n, total, kept, rmse``: errors of the speed by strategy of choice, estimator and number of satellites.
+
+    Noise hangs on the epoch, satellite and trial, so a sweep can be repeated. An estimate whose sigma is beyond the gate
+    counts in ``total`` alone.
+    """
+    spark, c = epochs.sparkSession, SWEEP
+    sats = visible(constellation(spark, epochs.withColumn("t", F.col("t_s")), "t"), mask_deg=c["mask"])
+    sats = sats.withColumns({"te": F.sin(F.radians("bearing")), "tn": F.cos(F.radians("bearing"))}).withColumn("dot", F.col("le") * F.col("te") + F.col("ln") * F.col("tn"))
+    sats = sats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    sats = sats.withColumn("drift", c["drift"] * _noise(1, "session", "seq", "trial"))
+    sats = sats.withColumn("rate", F.col("dot") * F.col("speed") + F.col("drift") + c["rate"] * _noise(2, "session", "seq", "trial", "sat"))
+    course = F.radians(F.col("bearing") + c["course_deg"] * _noise(3, "session", "seq", "trial"))
+    sats = sats.withColumns({"ue": F.sin(course), "un": F.cos(course)})
+    epoch, ranked = ["session", "seq", "trial"], None
+    for strategy in ("elevation", "dot", "random"):
+        one = chosen(sats, epoch, strategy, most, "place").withColumn("strategy", F.lit(strategy))
+        ranked = one if ranked is None else ranked.unionByName(one)
+    keys = [*epoch, "strategy", "n"]
+    some = ranked.withColumn("n", F.explode(F.expr(f"sequence(place, {most})")))
+    some = some.withColumn("_m", F.count("*").over(Window.partitionBy(*keys))).where("_m = n").withColumnRenamed("speed", "truth")
+    truth, solved = some.where("place = 1").select(*keys, "truth"), None
+    for mode, need in NEEDS.items():
+        known = some.withColumn("rate", F.col("rate") - F.col("drift")) if mode == "coast" else some
+        one = solve(known.where(F.col("n") >= need), keys, mode).select(*keys, F.lit(mode).alias("mode"), "speed", "sigma")
+        solved = one if solved is None else solved.unionByName(one)
+    good = F.col("speed").isNotNull() & (F.col("sigma") * c["rate"] <= c["sigma"])
+    e = F.when(good, F.col("speed") - F.col("truth"))
+    return solved.join(truth, keys).groupBy("strategy", "mode", "n").agg(F.count("*").alias("total"), F.count(e).alias("kept"), F.sqrt(F.avg(e * e)).alias("rmse"))

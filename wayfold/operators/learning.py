@@ -7,9 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.metrics import correlation
+
 
 def correlation_lag(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """The shift of ``b`` against ``a`` with the highest correlation, by one transform; missing values count as the mean."""
+    """The shift of ``b`` against ``a`` with the highest correlation, by one transform; missing values count as the mean, and fewer than 16 rows have none."""
+    if min(len(a), len(b)) < 16:
+        return 0, 0.0
     a, b = (np.where(np.isfinite(x), x, np.nanmean(x)) - np.nanmean(x) for x in (a, b))
     n = 1 << (len(a) + len(b) - 2).bit_length()
     full = np.fft.irfft(np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n)), n)
@@ -45,7 +49,7 @@ def frame_moments(rows: DataFrame, key: str, x: tuple[str, str, str], y: str) ->
     whole = F.nullif(det(a), F.lit(0.0))
     w = m.select(key, *((det([[t[i] if j == k else a[i][j] for j in range(3)] for i in range(3)]) / whole).alias(f"w{k}") for k in range(3)))
     fit = rows.join(w, key).withColumn("_p", sum(F.col(f"w{k}") * F.col(x[k]) for k in range(3)))
-    return w.join(fit.groupBy(key).agg(F.corr("_p", y).alias("r")), key)
+    return w.join(fit.groupBy(key).agg(correlation("_p", y).alias("r")), key)
 
 
 def upsampled(windows: DataFrame, fast: str, order: str, share: float = 0.3, most: int = 3) -> DataFrame:
@@ -75,41 +79,3 @@ def augmented(windows: DataFrame, key: str, gain: float = 0.05, noise: float = 0
 
 def receptive_field(dilations: list[int], kernel: int = 3, convolutions: int = 2) -> int:
     return 1 + convolutions * (kernel - 1) * sum(dilations)
-
-
-class CausalNetwork:
-    """Dilated causal network: weights are lists of (out, in, kernel) arrays with biases; residual blocks, last step to heads."""
-
-    def __init__(self, mean, sd, stem, blocks, heads):
-        self.mean, self.sd, self.stem, self.blocks, self.heads = mean, sd, stem, blocks, heads
-
-    @staticmethod
-    def convolve(x: np.ndarray, w: np.ndarray, b: np.ndarray, dilation: int) -> np.ndarray:
-        """x: (batch, channels, time); zeros before the start."""
-        k = w.shape[2]
-        padded = np.pad(x, ((0, 0), (0, 0), ((k - 1) * dilation, 0)))
-        taps = np.stack([padded[:, :, i * dilation : i * dilation + x.shape[2]] for i in range(k)], 3)
-        return np.einsum("bctk,ock->bot", taps, w) + b[None, :, None]
-
-    def forward(self, x: np.ndarray) -> np.ndarray:
-        x = (x - self.mean[None, :, None]) / self.sd[None, :, None]
-        x = np.maximum(self.convolve(x, *self.stem, 1), 0)
-        for (w1, b1), (w2, b2), dilation in self.blocks:
-            y = np.maximum(self.convolve(x, w1, b1, dilation), 0)
-            x = np.maximum(x + self.convolve(y, w2, b2, dilation), 0)
-        w, b = self.heads
-        return x[:, :, -1] @ w.T + b
-
-
-def infer(windows: DataFrame, key: str, window: str, channels: int, network: CausalNetwork, outputs: list[str], batch: int = 256) -> DataFrame:
-    """Outputs of a network for windows (channel-major arrays), a batch at a time."""
-    kind = dict(windows.dtypes)[key]
-
-    def run(parts):
-        for pdf in parts:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                x = np.stack([np.asarray(w, float).reshape(channels, -1) for w in part[window]])
-                yield pd.DataFrame({key: part[key].to_numpy()} | dict(zip(outputs, network.forward(x).T)))
-
-    return windows.select(key, window).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{o} double" for o in outputs))

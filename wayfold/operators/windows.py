@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +48,17 @@ def sliding(df: DataFrame, key: str, index: str, value: str, length: int, stride
 
     ``label_after``: the label is that of the row after the window, which must exist; else of its last row.
     ``drop_last``: the last full window is left out.
+
+    Rows are put together in blocks of a stride first, so that a window is made at its start alone and of blocks; all
+    steps share one shuffle by key. Nulls keep their places.
     """
-    w = by(key, index)
-    rows = w.rowsBetween(0, length - 1)
-    a = df.withColumns({"window": F.collect_list(value).over(rows), "_n": F.count("*").over(Window.partitionBy(key)), "_i": F.row_number().over(w) - 1})
+    a = df.withColumns({"_n": F.count("*").over(Window.partitionBy(key)), "_i": F.row_number().over(by(key, index)) - 1})
+    block = a.groupBy(key, F.floor(F.col("_i") / stride).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("_v"), F.first("_n").alias("_n"))
+    ahead = by(key, "_b").rowsBetween(0, (length - 1) // stride)
+    block = block.withColumns({"_w": F.flatten(F.collect_list("_v").over(ahead)), "start": F.col("_b") * stride})
     last = F.col("_n") - length - (1 if label_after or drop_last else 0)
-    return a.where((F.col("_i") <= last) & (F.col("_i") % stride == 0)).select(key, F.col("_i").alias("start"), (F.col("_i") + length - 1).alias("end"), "window", (F.col("_i") + length - (0 if label_after else 1)).alias("label_index"))
+    window = F.transform(F.slice("_w", 1, length), lambda x: x["v"]).alias("window")
+    return block.where(F.col("start") <= last).select(key, "start", (F.col("start") + length - 1).alias("end"), window, (F.col("start") + length - (0 if label_after else 1)).alias("label_index"))
 
 
 def islands(df: DataFrame, key: str, order: str, breaks: Column, out: str = "island") -> DataFrame:
@@ -88,11 +92,11 @@ def throttled(df: DataFrame, key: str, t: str, period: float) -> DataFrame:
 
     def fold(pdf):
         pdf = pdf.sort_values(t, kind="stable")
-        last, keep = -math.inf, []
-        for x in pdf[t]:
-            keep.append(x - last >= period)
-            last = x if keep[-1] else last
-        return pdf[keep]
+        times, keep, at = pdf[t].to_numpy(float), [], 0
+        while at < len(times):  # from each emission straight to the next
+            keep.append(at)
+            at = int(np.searchsorted(times, times[at] + period))
+        return pdf.iloc[keep]
 
     return df.groupBy(key).applyInPandas(fold, schema)
 

@@ -24,6 +24,16 @@ SQL = {
   CASE p_size % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' ELSE 'footway' END AS cls, p_partkey % 5 = 0 AS oneway FROM {part}, (SELECT 0 AS side UNION ALL SELECT 1 AS side) s0) s1""",
     "d_pred": """SELECT l_suppkey AS run, l_orderkey * 10 + l_linenumber AS i, l_quantity AS truth, l_quantity * (CAST(0.8 AS DOUBLE) + l_discount) + 10 * l_tax AS pred FROM {lineitem}""",
 }
+_D = "CAST({} AS DOUBLE)".format
+#: Matches, integrator samples and channels made of the fixes.
+SQL |= {
+    "d_match": f"""SELECT session, seq, t_s, speed, lat AS dr_lat, lon AS dr_lon, lat + {_D(0.00008)} * (event_id % 5 - 2) + CASE WHEN event_id % 17 = 0 THEN {_D(0.0004)} ELSE 0 END AS snap_lat,
+  lon + {_D(0.00006)} * (event_id % 7 - 3) AS snap_lon, CAST(event_id % 10 AS DOUBLE) / 10 AS confidence, lat + {_D(0.0000217)} * (event_id % 9 - 4) + {_D(0.0000031)} AS lat, lon + {_D(0.0000293)} * (event_id % 4) AS lon, event_id % 3 <> 0 AS matched FROM ({SQL["d_fix"]}) m0""",
+    "d_dr": f"""SELECT session, seq, t_s, event_id % 13 <> 0 AS accepted, event_id % 6 = 0 AS still, speed * {_D(0.8)} + CAST((event_id * 3) % 10 AS DOUBLE) / 20 AS speed, speed AS truth,
+  speed * {_D(0.7)} AS step_m, speed AS true_m FROM ({SQL["d_fix"]}) m0""",
+    "d_chan": f"""SELECT session, seq, t_s, lat, lon, bearing, speed, speed * {_D(0.85)} + CAST((event_id * 3) % 11 AS DOUBLE) / 10 AS model_speed, CAST(event_id % 21 - 10 AS DOUBLE) / 100 AS yaw,
+  CAST(event_id % 21 - 10 AS DOUBLE) / 90 + CAST(event_id % 5 AS DOUBLE) / 1000 AS model_yaw, CAST(event_id % 21 - 10 AS DOUBLE) / 95 AS gyro_yaw, CASE WHEN session % 2 = 0 THEN 1 ELSE -1 END AS sgn FROM ({SQL["d_fix"]}) m0""",
+}
 TABLES = ("events", "embeddings", "part", "lineitem")
 
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.plans import scalar_queries, series_queries, source_queries, state_queries
+from wayfold.plans import report_queries, scalar_queries, series_queries, source_queries, state_queries, track_queries, training_queries
 
-_PARTS = (scalar_queries, series_queries, source_queries, state_queries)
+#: Of two queries with one name the later part's holds.
+_PARTS = (scalar_queries, series_queries, source_queries, state_queries, report_queries, training_queries, track_queries)
 
 
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

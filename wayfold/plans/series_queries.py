@@ -91,10 +91,10 @@ def jn_07_uniform_grid(spark, sf):
     return align.uniform_grid(fix(spark, sf), "session", "t_s", 2.5).select("session", "i", r("t_s").alias("t_s"))
 
 
-@query(f"SELECT a.session, a.seq, a.speed, b.acc FROM {FIX} a JOIN {FIX} b ON a.session = b.session AND a.seq = b.seq WHERE b.seq < 30")
+@query(f"SELECT a.session, a.seq, a.speed, b.acc FROM {FIX} a JOIN {FIX} b ON a.session = b.session AND a.seq = b.seq WHERE b.seq < 20 + b.session % 50")
 def jn_08_zip(spark, sf):
     f = fix(spark, sf)
-    return align.zipped(f.select("session", "seq", "speed"), f.where("seq < 30").select("session", "seq", "acc"), "session", "seq")
+    return align.zipped(f.select("session", "seq", "speed"), f.where("seq < 20 + session % 50").select("session", "seq", "acc"), "session", "seq")  # the right side is the shorter one in most sessions
 
 
 @query(f"SELECT a.session, a.seq, a.speed, b.acc FROM {FIX} a JOIN {FIX} b ON a.session = b.session AND a.seq = b.seq + 4")
@@ -121,9 +121,9 @@ def jn_18_anti(spark, sf):
     return f.select("session", "seq").join(f.groupBy("session").count().where("count > 70"), "session", "left_anti")
 
 
-@query(f"SELECT session, seq, coalesce(lead(rn) OVER (PARTITION BY session ORDER BY seq), -1) AS next FROM (SELECT session, seq, row_number() OVER (ORDER BY session, seq) - 1 AS rn FROM {FIX} WHERE seq % 2 = 0)")
+@query(f"SELECT session, seq, coalesce(lead(rn) OVER (PARTITION BY session ORDER BY seq), -1) AS next FROM (SELECT session, seq, row_number() OVER (ORDER BY session, seq) - 1 AS rn FROM {FIX})")
 def jn_19_next_in_run(spark, sf):
-    f = fix(spark, sf).where("seq % 2 = 0").select("session", "seq")
+    f = fix(spark, sf).select("session", "seq")
     # a dense number over all rows without one task sorting them: sizes of the runs before, and the place within
     sizes = f.groupBy("session").agg(F.count("*").alias("n"))
     before = sizes.withColumn("base", F.sum("n").over(Window.orderBy("session")) - F.col("n"))
@@ -136,12 +136,12 @@ def _cand_sql() -> str:
     t = geo.segment_fraction("lat", "lon", "alat", "alon", "blat", "blon")
     dist = geo.local_metres("lat", "lon", geo.along("alat", "blat", "t"), geo.along("alon", "blon", "t"))
     return f"""SELECT * FROM (SELECT session, seq, seg_id, dist, bearing, row_number() OVER (PARTITION BY session, seq ORDER BY dist, seg_id) AS rank, alat, alon, blat, blon
- FROM (SELECT *, {dist} AS dist FROM (SELECT p.*, s.*, {t} AS t FROM (SELECT session, seq, lat, lon, bearing FROM {FIX} WHERE seq < 12) p JOIN {SEG} s ON abs(s.alat - p.lat) < 0.01 AND abs(s.alon - p.lon) < 0.01) WHERE t IS NOT NULL) WHERE dist <= 150) WHERE rank <= 24"""
+ FROM (SELECT *, {dist} AS dist FROM (SELECT p.*, s.*, {t} AS t FROM (SELECT session, seq, lat, lon, bearing FROM {FIX}) p JOIN {SEG} s ON abs(s.alat - p.lat) < 0.01 AND abs(s.alon - p.lon) < 0.01) WHERE t IS NOT NULL) WHERE dist <= 150) WHERE rank <= 24"""
 
 
 @query(f"SELECT session, seq, seg_id, round(dist, 4) AS dist, CAST(rank AS BIGINT) AS rank FROM ({_cand_sql()})")
 def jn_10_candidates(spark, sf):
-    c = spatial.candidates(fix(spark, sf).where("seq < 12"), relation(spark, sf, "d_seg"), ["session", "seq"], 150.0)
+    c = spatial.candidates(fix(spark, sf), relation(spark, sf, "d_seg"), ["session", "seq"], 150.0)
     return c.select("session", "seq", "seg_id", r("dist", 4).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -152,7 +152,7 @@ _COST = f"dist + {d(0.5)} * abs({geo.bearing_difference('bearing', geo.segment_h
 @query(f"""SELECT session, seq, seg_id, dir, round(cost, 4) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY cost, seg_id, dir DESC) AS k FROM
  (SELECT *, {_COST} AS cost FROM (SELECT c.*, {_BEAR} AS sb, dir FROM ({_cand_sql()}) c, (SELECT 1 AS dir UNION ALL SELECT -1) dd))) WHERE k = 1""")
 def jn_12_nearest_state(spark, sf):
-    best = spatial.nearest_state(fix(spark, sf).where("seq < 12"), relation(spark, sf, "d_seg"), ["session", "seq"], 150.0)
+    best = spatial.nearest_state(fix(spark, sf), relation(spark, sf, "d_seg"), ["session", "seq"], 150.0)
     return best.select("session", "seq", "seg_id", "dir", r("cost", 4).alias("cost"))
 
 
@@ -277,12 +277,6 @@ def win_16_best_sign(spark, sf):
     return a.groupBy("session").agg(F.min(F.struct("rms", (-F.col("sign")).alias("n"))).alias("b")).select("session", (-F.col("b.n")).alias("sign"), r("b.rms").alias("rms"))
 
 
-@query(f"SELECT session, CASE WHEN n < 40 OR c IS NULL OR c = 0 THEN -1 ELSE CAST(sign(c) AS INTEGER) END AS sign FROM (SELECT session, count(*) AS n, corr(g, acc) AS c FROM (SELECT session, acc, bearing - lag(bearing) {W} AS g FROM {FIX}) GROUP BY 1)")
-def win_17_sign_convention(spark, sf):
-    a = fix(spark, sf).withColumn("g", windows.step("bearing", windows.by("session", "seq"))).groupBy("session").agg(F.count("*").alias("n"), F.corr("g", "acc").alias("c"))
-    return a.select("session", F.when((F.col("n") < 40) | F.col("c").isNull() | (F.col("c") == 0), -1).otherwise(F.sign("c").cast("int")).alias("sign"))
-
-
 _LAGGED = f"(SELECT session, seq, lat, lon, coalesce(lag(lat, 10) {W}, first_value(lat) {W}) AS lat0, coalesce(lag(lon, 10) {W}, first_value(lon) {W}) AS lon0 FROM {FIX})"
 _COURSE = f"CASE WHEN {geo.local_metres('lat0', 'lon0', 'lat', 'lon')} > 1 THEN round({geo.bearing('lat0', 'lon0', 'lat', 'lon')}, 4) END"
 
@@ -294,13 +288,6 @@ def win_18_course(spark, sf):
     return a.select("session", "seq", F.expr(_COURSE).alias("course"))
 
 
-@query(f"SELECT session, seq FROM (SELECT session, seq, t_s - lag(t_s) {W} AS dt, abs(acc - lag(acc) {W}) - abs(speed - lag(speed) {W}) AS jump FROM {FIX}) WHERE jump > 15 AND dt <= 5")
-def win_20_jumps(spark, sf):
-    w = windows.by("session", "seq")
-    a = fix(spark, sf).select("session", "seq", windows.step("t_s", w).alias("dt"), (F.abs(windows.step("acc", w)) - F.abs(windows.step("speed", w))).alias("jump"))
-    return a.where("jump > 15 AND dt <= 5").select("session", "seq")
-
-
 @query(f"SELECT session, round(avg(abs(ds)), 6) AS smoothness FROM (SELECT session, t_s - lag(t_s) {W} AS dt, speed - lag(speed) {W} AS ds FROM {FIX}) WHERE dt > 0 AND dt <= 1.5 GROUP BY 1")
 def win_21_successive_difference(spark, sf):
     w = windows.by("session", "seq")
@@ -359,10 +346,10 @@ def agg_02_03_04_correlation(spark, sf):
     return pred(spark, sf).groupBy("run").agg(r(metrics.pearson("pred", "truth"), 5).alias("r"), r(F.stddev_pop("truth"), 5).alias("constant_rmse"), r(metrics.spread_ratio("pred", "truth"), 5).alias("shrinkage"))
 
 
-@query(f"SELECT run, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN sqrt(avg({_E} * {_E})) END, 5) AS rmse, round(CASE WHEN count(*) >= 10 THEN min(pred) END, 5) AS least, round(CASE WHEN count(*) >= 10 THEN max(pred) END, 5) AS most FROM {PRED} WHERE i % 7 = 0 GROUP BY 1")
+@query(f"SELECT run, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN sqrt(avg({_E} * {_E})) END, 5) AS rmse, round(CASE WHEN count(*) >= 10 THEN min(pred) END, 5) AS least, round(CASE WHEN count(*) >= 10 THEN max(pred) END, 5) AS most FROM {PRED} GROUP BY 1")
 def agg_05_score(spark, sf):
     s = metrics.score("pred", "truth")
-    return pred(spark, sf).where("i % 7 = 0").groupBy("run").agg(s["n"].alias("n"), *(r(s[k], 5).alias(k) for k in ("rmse", "least", "most")))
+    return pred(spark, sf).groupBy("run").agg(s["n"].alias("n"), *(r(s[k], 5).alias(k) for k in ("rmse", "least", "most")))
 
 
 @query(f"SELECT session, max_by(e, seq) AS crse, round(sum(e), 4) AS cae, round(avg(abs(e)), 5) AS aeps, count(e) AS seconds FROM (SELECT session, seq, speed - 7 AS e FROM {FIX}) GROUP BY 1")
@@ -389,11 +376,6 @@ def agg_11_percentiles(spark, sf):
     return pred(spark, sf).groupBy("run").agg(r(F.percentile(e, F.lit(0.5))).alias("median"), r(F.percentile(e, F.lit(0.9))).alias("p90"))
 
 
-@query(f"SELECT session, round(avg(acc), 6) AS mean, quantile_cont(acc, 0.5) AS median, round(quantile_cont(acc, 0.9), 6) AS p90, max(acc) AS most, round(avg(CASE WHEN speed / 15 < 0.6 THEN 1.0 ELSE 0 END), 6) AS unsure FROM {FIX} GROUP BY 1")
-def agg_12_match_report(spark, sf):
-    return fix(spark, sf).groupBy("session").agg(r(F.avg("acc")).alias("mean"), F.percentile("acc", F.lit(0.5)).alias("median"), r(F.percentile("acc", F.lit(0.9))).alias("p90"), F.max("acc").alias("most"), r(F.avg(F.when(F.col("speed") / 15 < 0.6, 1.0).otherwise(0.0))).alias("unsure"))
-
-
 def _path(df: DataFrame) -> DataFrame:
     w = windows.by("session", "seq")
     a = df.withColumns({f"{c}0": F.lag(c).over(w) for c in ("lat", "lon")})
@@ -425,22 +407,6 @@ def agg_17_circular_mean(spark, sf):
     return fix(spark, sf).groupBy("session").agg(r(metrics.circular_mean("bearing"), 4).alias("mean"))
 
 
-@query(f"SELECT session, round(CASE WHEN count(*) FILTER (speed < 8) > 20 THEN avg(acc) FILTER (speed < 8) ELSE 0 END, 6) AS bias FROM {FIX} GROUP BY 1")
-def agg_18_standing_mean(spark, sf):
-    s = F.col("speed") < 8
-    return fix(spark, sf).groupBy("session").agg(r(F.when(F.count(F.when(s, 1)) > 20, F.avg(F.when(s, F.col("acc")))).otherwise(0.0)).alias("bias"))
-
-
-@query(f"SELECT session, round(CASE WHEN count(*) FILTER (speed < 8) >= 35 THEN avg(acc) FILTER (speed < 8) ELSE quantile_cont(acc, 0.5) END, 6) AS bias FROM {FIX} GROUP BY 1")
-def agg_19_run_bias(spark, sf):
-    return fix(spark, sf).groupBy("session").agg(r(metrics.standing_bias("acc", F.col("speed") < 8, 35)).alias("bias"))
-
-
-@query(f"SELECT session, quantile_cont(acc, 0.5) AS median, round(quantile_cont(acc, 0.9), 6) AS p90 FROM {FIX} WHERE seq % 13 = 0 AND NOT (lat = 0 AND lon = 0) GROUP BY 1")
-def agg_20_offset_sample(spark, sf):
-    return fix(spark, sf).where("seq % 13 = 0 AND NOT (lat = 0 AND lon = 0)").groupBy("session").agg(F.percentile("acc", F.lit(0.5)).alias("median"), r(F.percentile("acc", F.lit(0.9))).alias("p90"))
-
-
 @query(f"SELECT session, round(min(lat) - greatest((max(lat) - min(lat)) * 0.05, 0.001), 7) AS south, round(max(lat) + greatest((max(lat) - min(lat)) * 0.05, 0.001), 7) AS north, round(min(lon) - greatest((max(lon) - min(lon)) * 0.05, 0.001), 7) AS west, round(max(lon) + greatest((max(lon) - min(lon)) * 0.05, 0.001), 7) AS east FROM {FIX} GROUP BY 1")
 def agg_21_extent(spark, sf):
     return fix(spark, sf).groupBy("session").agg(*(r(v, 7).alias(k) for k, v in metrics.extent("lat", "lon", 0.05, 0.001).items()))

@@ -85,17 +85,17 @@ def src_12_roads(spark, sf):
     return readers.parse_roads(s.select("seg_id", text.alias("value"))).select("seg_id", r("bearing", 4).alias("bearing"), r("len_m", 4).alias("len_m"))
 
 
-@query(f"SELECT session AS id, seq AS k, lat AS alat, nlat AS blat FROM (SELECT session, seq, lat, lead(lat) OVER (PARTITION BY session ORDER BY seq) AS nlat FROM {FIX} WHERE seq < 10) WHERE nlat IS NOT NULL AND session % 3 > 0")
+@query(f"SELECT session AS id, seq AS k, lat AS alat, nlat AS blat FROM (SELECT session, seq, lat, lead(lat) OVER (PARTITION BY session ORDER BY seq) AS nlat FROM {FIX}) WHERE nlat IS NOT NULL AND session % 3 > 0")
 def src_13_14_ways(spark, sf):
-    f = fix(spark, sf).where("seq < 10").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("g"))
+    f = fix(spark, sf).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("g"))
     way = F.struct(F.lit("way").alias("type"), F.col("session").alias("id"), F.create_map(F.lit("highway"), F.when(F.col("session") % 3 > 0, "primary").otherwise("footway")).alias("tags"), F.expr("transform(g, p -> named_struct('lat', p.lat, 'lon', p.lon))").alias("geometry"))
     text = F.to_json(F.struct(F.array(way, way).alias("elements")))
     return readers.parse_ways(f.select(text.alias("value"))).select("id", F.col("k").cast("long").alias("k"), "alat", "blat")
 
 
-@query(f"SELECT session, CAST(count(*) AS BIGINT) AS n, min(lat) AS south FROM {FIX} WHERE seq < 10 GROUP BY 1")
+@query(f"SELECT session, CAST(count(*) AS BIGINT) AS n, min(lat) AS south FROM {FIX} GROUP BY 1")
 def src_21_route(spark, sf):
-    f = fix(spark, sf).where("seq < 10").groupBy("session").agg(F.collect_list(F.array("lon", "lat")).alias("c"))
+    f = fix(spark, sf).groupBy("session").agg(F.collect_list(F.array("lon", "lat")).alias("c"))
     text = F.to_json(F.struct(F.array(F.struct(F.col("session").cast("double").alias("distance"), F.lit(1.5).alias("duration"), F.struct(F.col("c").alias("coordinates")).alias("geometry"))).alias("routes")))
     out = readers.parse_route(f.select(text.alias("value")))
     return out.select(F.col("distance").cast("long").alias("session"), F.size("points").cast("long").alias("n"), F.expr("array_min(transform(points, p -> p.lat))").alias("south"))
@@ -146,6 +146,80 @@ def snk_08_roads(spark, sf):
     return sinks.road_rows(relation(spark, sf, "d_seg"))
 
 
+@query(f"""WITH m AS (SELECT session, t_s + CAST(0.4 AS DOUBLE) AS t_s, acc AS mu FROM {FIX} WHERE event_id % 6 > 0), f AS (SELECT session, t_s, speed FROM {FIX} WHERE event_id % 3 = 0),
+k AS (SELECT session FROM m GROUP BY 1 HAVING count(*) >= 10 INTERSECT SELECT session FROM f GROUP BY 1 HAVING count(*) >= 5),
+x AS (SELECT m.session, m.t_s, mu, CASE WHEN b.t_s = a.t_s THEN a.speed ELSE a.speed + (b.speed - a.speed) * (m.t_s - a.t_s) / (b.t_s - a.t_s) END AS truth FROM m ASOF JOIN f a ON a.session = m.session AND m.t_s >= a.t_s ASOF JOIN f b ON b.session = m.session AND m.t_s <= b.t_s WHERE m.session IN (SELECT session FROM k))
+SELECT session, t_s, mu, round(truth, 6) AS truth FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM x) WHERE n >= 10""")
+def src_08_model_pairs(spark, sf):
+    f = fix(spark, sf)
+    m = f.where("event_id % 6 > 0").select("session", (F.col("t_s") + 0.4).alias("t_s"), F.col("acc").alias("mu"))
+    return readers.model_pairs(m, f.where("event_id % 3 = 0"), "session", "t_s").withColumn("truth", r("truth"))
+
+
+@query(f"SELECT session, seq, speed AS ax, acc AS gz, bearing AS gps_bearing FROM {FIX} WHERE session IN (SELECT session FROM {FIX} GROUP BY 1 HAVING count(*) >= 60)")
+def src_16_positional(spark, sf):
+    c = {9: "speed", 17: "acc", 4: "bearing"}
+    text = F.concat_ws(",", *(F.col(c[k]).cast("string") if k in c else F.lit("0") for k in range(24)))
+    return readers.parse_positional(fix(spark, sf).select("session", "seq", text.alias("value")), "session", 4).select("session", "seq", "ax", "gz", "gps_bearing")
+
+
+@query("SELECT l_suppkey AS run, i, CAST(i - s.start AS BIGINT) AS place FROM (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey, l_orderkey, l_linenumber) - 1 AS i FROM lineitem) l JOIN (SELECT run, sum(n) OVER (ORDER BY run) - n AS start FROM (SELECT l_suppkey AS run, count(*) AS n FROM lineitem GROUP BY 1)) s ON s.run = l_suppkey")
+def src_17_bundle_slices(spark, sf):
+    from pyspark.sql import Window
+
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("run"), "l_orderkey", "l_linenumber")
+    o = sinks.bundle_offsets(rows, "run")
+    place = F.row_number().over(Window.partitionBy("run").orderBy("l_orderkey", "l_linenumber")) - 1
+    laid = rows.withColumn("p", place).join(o.select("run", "start"), "run").select((F.col("start") + F.col("p")).alias("i"))
+    return readers.run_slices(laid, o, "run", "i").select("run", "i", "place")
+
+
+@query(f"SELECT session, seq AS t_ns, CAST(used AS INTEGER) AS svid, CASE WHEN event_id % 3 > 0 THEN acc END AS cn0_dbhz, CASE WHEN event_id % 4 > 0 THEN CAST(event_id AS BIGINT) END AS full_bias_ns FROM {FIX}")
+def src_19_raw_gnss(spark, sf):
+    f, names = fix(spark, sf), list(readers.RAW_GNSS)
+    at = {"t_ns": F.col("seq").cast("string"), "svid": F.col("used").cast("string"), "cn0_dbhz": F.when(F.col("event_id") % 3 > 0, F.col("acc").cast("string")).otherwise(""), "full_bias_ns": F.when(F.col("event_id") % 4 > 0, F.col("event_id").cast("string")).otherwise("")}
+    text = F.concat_ws(",", *(at.get(n, F.lit("")) for n in names))
+    return readers.parse_raw_gnss(f.select("session", text.alias("value"))).select("session", "t_ns", "svid", "cn0_dbhz", "full_bias_ns")
+
+
+@query("SELECT title, subtitle, round(distance, 3) AS distance FROM (SELECT n_name AS title, 'part ' || n_regionkey || ', world' AS subtitle, 12742000 * asin(sqrt(pow(sin(radians(n_nationkey) / 2), 2))) AS distance FROM nation) ORDER BY distance, title LIMIT 6")
+def src_20_places(spark, sf):
+    place = F.struct(F.concat("n_name", F.lit(", part "), F.col("n_regionkey").cast("string"), F.lit(", world")).alias("display_name"), F.col("n_nationkey").cast("string").alias("lat"), F.lit("0").alias("lon"))
+    j = spark.read.parquet(f"{sf}/nation.parquet").agg(F.to_json(F.collect_list(place)).alias("value"))
+    return readers.parse_places(j, 0.0, 0.0).select("title", "subtitle", r("distance", 3).alias("distance"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS valid FROM part")
+def src_23_magic(spark, sf):
+    text = F.when(F.col("p_partkey") % 3 == 0, F.lit("mapsforge binary OSM and more")).when(F.col("p_partkey") % 3 == 1, F.lit("mapsforge binary")).otherwise(F.col("p_name"))
+    return readers.has_magic(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", text.cast("binary").alias("content"))).select("p_partkey", "valid")
+
+
+@query(f"""WITH g AS (SELECT session, t_ns + 40000000 AS t FROM {IMU} WHERE sensor = 'gyro'), a AS (SELECT session, t_ns AS t, v2 FROM {IMU} WHERE sensor = 'accel'), n AS (SELECT session FROM a GROUP BY 1 HAVING count(*) > 1)
+SELECT g.session, g.t AS t_ns, round(CASE WHEN q.t = p.t THEN p.v2 ELSE coalesce(p.v2 + (q.v2 - p.v2) * CAST(g.t - p.t AS DOUBLE) / CAST(q.t - p.t AS DOUBLE), p.v2, q.v2) END, 6) AS v2 FROM g JOIN n ON n.session = g.session ASOF LEFT JOIN a p ON p.session = g.session AND g.t >= p.t ASOF LEFT JOIN a q ON q.session = g.session AND g.t <= q.t""")
+def src_24_resampled(spark, sf):
+    i = relation(spark, sf, "d_imu")
+    grid = i.where("sensor = 'gyro'").select("session", (F.col("t_ns") + 40_000_000).alias("t_ns"))
+    one = i.where("sensor = 'accel'").select("session").groupBy("session").count().where("count > 1").select("session")
+    return readers.resampled(i, grid.join(one, "session"), "session", "t_ns", "accel", ["v2"]).select("session", "t_ns", r("v2").alias("v2"))
+
+
+@query("SELECT c_custkey AS session_id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS duration_s, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS BIGINT) END AS imu_samples FROM customer")
+def snk_02_metadata(spark, sf):
+    done = F.col("c_custkey") % 2 == 0
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("session_id"), F.lit("1.0").alias("app_version"), F.when(done, F.col("c_acctbal")).alias("duration_s"), F.col("c_nationkey").alias("imu_samples"), F.lit(0).alias("gps_fixes"))
+    j = F.from_json("json", "session_id long, summary struct<duration_s: double, imu_samples: long>")
+    return sinks.session_metadata(c).select("session_id", j["summary"]["duration_s"].alias("duration_s"), j["summary"]["imu_samples"].alias("imu_samples"))
+
+
+@query("SELECT s_suppkey AS variant, s_acctbal AS rmse, CAST(2 AS DOUBLE) AS last_mean FROM supplier")
+def snk_09_training_results(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("variant"), F.col("s_acctbal").alias("rmse"))
+    j = F.from_json("json", "rmse double, norm_mean array<double>, norm_sd array<double>")
+    return sinks.training_results(s, [1, 2], [3, 4]).select("variant", j["rmse"].alias("rmse"), F.get(j["norm_mean"], 1).alias("last_mean"))
+
+
+
 def queries():
     return dict(_QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,15 +87,12 @@ def st_07_tilt_yaw_heading(spark, sf):
     return fix(spark, sf).select("session", "seq", r(F.pmod(200 - windows.running("used", windows.by("session", "seq")) * 0.1, F.lit(360.0)), 4).alias("heading"))
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT session, seq, bearing FROM {FIX}), h AS (SELECT session, seq, bearing AS deg FROM f WHERE seq = 0 UNION ALL
+ SELECT session, seq, g - 360 * floor(g / 360) FROM (SELECT f.session, f.seq, deg + CAST(0.35 AS DOUBLE) * (bearing - deg + 180 - 360 * floor((bearing - deg + 180) / 360) - 180) AS g FROM h JOIN f ON f.session = h.session AND f.seq = h.seq + 1) x)
+SELECT session, seq AS t_ns, round(deg, 6) AS deg FROM h""")
 def win_19_smoothed_circle(spark, sf):
     e = fix(spark, sf).select("session", F.col("seq").alias("t_ns"), F.lit("x").alias("kind"), F.col("bearing").alias("deg"))
-    return folds.fold(e, "session", folds.smoothed_circle, "session long, t_ns long, deg double")
-
-
-@query(f"SELECT session, count(DISTINCT (used, CAST(acc AS BIGINT) % 8)) / CAST(72 AS DOUBLE) AS coverage FROM {FIX} GROUP BY 1")
-def agg_29_st_08_coverage(spark, sf):
-    return fix(spark, sf).groupBy("session").agg((F.countDistinct("used", F.col("acc").cast("long") % 8) / 72.0).alias("coverage"))
+    return folds.fold(e, "session", folds.smoothed_circle, "session long, t_ns long, deg double").withColumn("deg", r("deg"))
 
 
 @query(f"SELECT session, seq, used < 3 AND seq - coalesce(last_good, -1000) > 5 AS unaided FROM (SELECT *, last_value(CASE WHEN used >= 3 THEN seq END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS last_good FROM {FIX})")
@@ -103,14 +102,15 @@ def flt_17_st_17_unaided(spark, sf):
     return fix(spark, sf).select("session", "seq", ((F.col("used") < 3) & (F.col("seq") - F.coalesce(good, F.lit(-1000)) > 5)).alias("unaided"))
 
 
-@query(f"""WITH RECURSIVE n AS (SELECT seg_id, max(node) FILTER (side = 0) AS u, max(node) FILTER (side = 1) AS v FROM {_NODES} WHERE seg_id < 260 GROUP BY 1),
-e AS (SELECT u, v FROM n UNION SELECT v, u FROM n), c AS (SELECT u AS node, u AS r FROM e UNION SELECT e.v, r FROM c JOIN e ON e.u = c.node) SELECT node, min(r) AS component FROM c GROUP BY 1""")
+@query()
 def gr_06_components(spark, sf):
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    return graph.road_components(relation(spark, sf, "d_seg").where("seg_id < 260"))
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp())
+    return graph.road_components(relation(spark, sf, "d_seg"))
 
 
 @query()
@@ -125,23 +125,9 @@ def gr_05_07_routes(spark, sf):
     return graph.routes(ask.select("block", "req", "sa", "oa", "sb", "ob"), blocks, "block")
 
 
-_GPOS = ", ".join(f"{v} AS {k}" for k, v in gnss.constellation_sql("t").items())
-
 
-@query(f"SELECT t, sat, {', '.join(f'round({k}, 2) AS {k}' for k in ('sx', 'sy', 'sz'))} FROM (SELECT *, {_GPOS} FROM (SELECT CAST(x AS DOUBLE) * 600 AS t, sat FROM range(10) a(x), range(24) b(sat)))")
-def gn_01_constellation(spark, sf):
-    times = spark.range(10).select((F.col("id") * 600).cast("double").alias("t"))
-    return gnss.constellation(spark, times).select("t", F.col("sat").cast("long").alias("sat"), *(r(c, 2).alias(c) for c in ("sx", "sy", "sz")))
 
 
-_LOS = gnss.line_of_sight_sql("lat", "lon")
-
-
-@query(f"SELECT t, sat, round(degrees(asin(lu)), 4) AS elevation FROM (SELECT *, {_LOS['lu']} AS lu FROM (SELECT *, {_GPOS}, CAST(22.3 AS DOUBLE) AS lat, CAST(87.3 AS DOUBLE) AS lon FROM (SELECT CAST(x AS DOUBLE) * 600 AS t, sat FROM range(10) a(x), range(24) b(sat)))) WHERE degrees(asin(lu)) >= 15")
-def gn_02_visible(spark, sf):
-    times = spark.range(10).select((F.col("id") * 600).cast("double").alias("t"), F.lit(22.3).alias("lat"), F.lit(87.3).alias("lon"))
-    return gnss.visible(gnss.constellation(spark, times)).select("t", F.col("sat").cast("long").alias("sat"), r("elevation", 4).alias("elevation"))
-
 
 _RATES = f"(SELECT session, seq - seq % 6 AS epoch, sin(radians(bearing)) AS le, cos(radians(bearing)) AS ln, CAST(0.6 AS DOUBLE) AS ue, CAST(0.8 AS DOUBLE) AS un, speed AS rate FROM {FIX})"
 _H = "(le * ue + ln * un)"
@@ -189,16 +175,6 @@ def ml_04_upsampled(spark, sf):
     return learning.upsampled(pred(spark, sf).withColumn("fast", F.col("truth") > 45).select("run", "i", "fast"), "fast", "i")
 
 
-@query()
-def ml_11_12_network(spark, sf):
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    conv = lambda o, i, k: (rng.normal(0, 0.3, (o, i, k)), np.zeros(o))
-    net = learning.CausalNetwork(np.zeros(4), np.ones(4), conv(8, 4, 7), [(conv(8, 8, 3), conv(8, 8, 3), d) for d in (1, 2, 4)], (rng.normal(0, 0.3, (4, 8)), np.zeros(4)))
-    return learning.infer(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 4, net, ["mu", "logvar", "stationary", "yaw"])
-
-
 @query(f"SELECT session, seq, speed - lag(speed) {W} AS dspeed, bearing - lag(bearing) {W} AS dbearing FROM {FIX}")
 def ml_16_targets(spark, sf):
     w = windows.by("session", "seq")

@@ -41,9 +41,12 @@ def fields(df: DataFrame, header: list[str], wanted: dict[str, str], value: str
 
 
 def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """``session, row_seq, value``: the lines of all files below the path, by the folder that holds them."""
-    text = spark.read.option("encoding", encoding or "UTF-8").text(path, wholetext=True)
-    rows = text.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("session"), F.posexplode(F.split("value", "\r?\n")).alias("row_seq", "value"))
+    """``session, block, row_seq, value``: the lines of all files below the path, by the folder that holds them.
+
+    Files are read in splits; within a session's file lines are ordered by the offset of their split, then by ``row_seq``.
+    """
+    text = spark.read.option("encoding", encoding or "UTF-8").text(path)
+    rows = text.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("session"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row_seq"), F.rtrim("value", F.lit("\r")).alias("value"))
     return rows.where("value <> ''")
 
 
@@ -139,8 +142,11 @@ def parse_route(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def covering(maps: DataFrame, points: DataFrame, point_key: str) -> DataFrame:
-    """For each point the smallest map that contains it (ties by name); ``maps`` is a small catalogue of boxes."""
-    inside = points.join(maps, F.expr("lat BETWEEN south AND north AND lon BETWEEN west AND east"))
+    """For each point the smallest map that contains it (ties by name); boxes and points meet by whole degrees."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int")))
+    m = maps.withColumn("_y", cells("south", "north")).withColumn("_x", cells("west", "east"))
+    p = points.withColumns({"_y": F.floor("lat").cast("int"), "_x": F.floor("lon").cast("int")})
+    inside = p.join(m, ["_y", "_x"]).where("lat BETWEEN south AND north AND lon BETWEEN west AND east")
     return inside.groupBy(point_key).agg(F.min_by("name", F.struct((F.col("north") - F.col("south")) * (F.col("east") - F.col("west")), "name")).alias("map"))
 
 
@@ -164,3 +170,55 @@ def sensor_stream(spark: SparkSession, path: str) -> DataFrame:
     """The long sensor log as a stream of files."""
     kinds = ", ".join(f"{n} {'bigint' if n == 't_ns' else 'string' if n == 'sensor' else 'int' if n == 'accuracy' else 'double'}" for n in IMU)
     return spark.readStream.schema(kinds).option("header", True).csv(path)
+
+
+#: Streams of the logger with their periods in microseconds, columns of raw satellite measurements.
+STREAMS = {"accel": 5_000, "gyro": 5_000, "mag": 20_000, "accel_uncal": 5_000, "gyro_uncal": 5_000, "mag_uncal": 20_000, "rv": 20_000, "game_rv": 10_000, "gravity": 20_000, "linear_accel": 10_000, "pressure": 40_000}
+RAW_GNSS = {
+    "t_ns": "long", "clock_time_ns": "long", "full_bias_ns": "long", "bias_ns": "double", "drift_nsps": "double", "drift_unc_nsps": "double", "hw_clock_discontinuity": "int", "leap_second": "int", "svid": "int", "constellation": "int", "state": "int",
+    "received_sv_time_ns": "long", "received_sv_time_unc_ns": "long", "cn0_dbhz": "double", "pr_rate_mps": "double", "pr_rate_unc_mps": "double", "adr_m": "double", "adr_unc_m": "double", "adr_state": "int", "carrier_freq_hz": "double", "multipath": "int",
+}
+#: Columns of the older model's file by place: acceleration, turn rates, field, gravity, speed, bearing.
+POSITIONAL = {"ax": 9, "ay": 10, "az": 11, "gx": 15, "gy": 16, "gz": 17, "mx": 18, "my": 19, "mz": 20, "grav_x": 21, "grav_y": 22, "grav_z": 23, "gps_speed": 3, "gps_bearing": 4}
+
+
+def parse_raw_gnss(df: DataFrame, header: tuple[str, ...] = tuple(RAW_GNSS)) -> DataFrame:
+    """Raw satellite measurements; what a device doesn't give is an empty field, and null."""
+    return fields(df, list(header), RAW_GNSS).where("t_ns IS NOT NULL")
+
+
+def parse_positional(df: DataFrame, key: str, hz: int = 100, value: str = "value") -> DataFrame:
+    """The older model's fourteen columns by place, of files with 15 s of rows at least; the others have none."""
+    part = F.split(F.col(value), ",", -1)
+    out = df.select(*(c for c in df.columns if c != value), *(F.nullif(F.trim(F.get(part, k)), F.lit("")).try_cast("double").alias(n) for n, k in POSITIONAL.items()))
+    return out.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") >= 15 * hz).drop("_n")
+
+
+def model_pairs(model: DataFrame, fixes: DataFrame, key: str, t: str, least_rows: int = 10, least_fixes: int = 5) -> DataFrame:
+    """``key, t, mu, truth``: a model's speeds inside the span of the fixes with the fixes' speed along a line between them.
+
+    Sessions with fewer than ten model rows, in all or inside, or five fixes go; rows without a number count as none.
+    """
+    from wayfold.operators import align
+
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    m = model.where(finite("mu")).withColumn("_all", F.count("*").over(Window.partitionBy(key))).where(F.col("_all") >= least_rows).select(key, t, "mu")
+    f = fixes.where(finite("speed")).withColumn("_f", F.count("*").over(Window.partitionBy(key))).where(F.col("_f") >= least_fixes).select(key, t, F.col("speed").alias("truth"))
+    a = align.interpolate(m, f, key, t, "truth", inside_only=True).where("truth IS NOT NULL")
+    return a.withColumn("_in", F.count("*").over(Window.partitionBy(key))).where(F.col("_in") >= least_rows).select(key, t, "mu", "truth")
+
+
+def resampled(samples: DataFrame, grid: DataFrame, key: str, t: str, sensor: str, values: list[str]) -> DataFrame:
+    """One sensor's values along lines between its samples, at the times of a grid."""
+    from wayfold.operators import align
+
+    out, one = grid, samples.where(F.col("sensor") == sensor)
+    for v in values:
+        out = align.interpolate(out, one, key, t, v)
+    return out
+
+
+def run_slices(rows: DataFrame, offsets: DataFrame, run: str, index: str) -> DataFrame:
+    """Rows of a bundle with their run and place in it: by ``start`` and ``length`` of the runs, a dimension of few rows."""
+    o = offsets.select(run, "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias(index))
+    return rows.join(o, index).withColumn("place", F.col(index) - F.col("start")).drop("start")

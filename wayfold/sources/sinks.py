@@ -40,3 +40,30 @@ def bundle_offsets(runs: DataFrame, key: str) -> DataFrame:
 def append_stream(stream: DataFrame, path: str, checkpoint: str, seconds: int = 2):
     """Appends a stream as CSV, a file for each trigger; restarts go on from the checkpoint."""
     return stream.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").outputMode("append").start()
+
+
+def session_metadata(sessions: DataFrame) -> DataFrame:
+    """``session_id, json``: the metadata of each session, with its summary once there is one (``duration_s, imu_samples, gps_fixes``)."""
+    summary = F.when(F.col("duration_s").isNotNull(), F.struct("duration_s", "imu_samples", "gps_fixes"))
+    return sessions.select("session_id", F.to_json(F.struct("session_id", "app_version", F.lit("elapsedRealtimeNanos").alias("timebase"), summary.alias("summary"))).alias("json"))
+
+
+def rewrite(df: DataFrame, path: str) -> None:
+    """Writes a small table over what is there; its rows must not come from there."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def tensor_set(windows: DataFrame, path: str, **meta) -> None:
+    """Windows with their targets as Parquet arrays, and the set's facts as JSON beside them."""
+    import json
+
+    windows.write.mode("overwrite").parquet(f"{path}/windows")
+    spark = windows.sparkSession
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def training_results(results: DataFrame, mean: list[float], sd: list[float]) -> DataFrame:
+    """``variant, json``: one record for each variant, with the normalisation that it was trained with."""
+    rest = [c for c in results.columns if c != "variant"]
+    norm = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    return results.select("variant", F.to_json(F.struct("variant", *rest, norm(mean).alias("norm_mean"), norm(sd).alias("norm_sd"))).alias("json"))

@@ -25,8 +25,8 @@ STRAPDOWN = {
 COMPASS = dict(min_speed=4.0, max_turn=3.0, memory=0.98, samples=15, disturbed=0.15, hysteresis=0.2)
 TAU = {"live": 3.0, "eval": 8.0}
 MATCHER = {
-    "live": dict(base=60.0, most=100.0, forced=150.0, gate=25.0, emission=30.0, heading=35.0, transition=25.0, same=1.0, hop=25.0, far=-12.0, turn=True, beam=12, candidates=24, budget=60.0, forced_budget=150.0, least_budget=15.0, rival=30.0),
-    "eval": dict(base=60.0, most=400.0, forced=400.0, gate=25.0, emission=30.0, heading=35.0, transition=25.0, same=0.5, hop=math.inf, far=-12.0, turn=False, beam=12, candidates=24, budget=math.inf, forced_budget=math.inf, least_budget=math.inf, rival=30.0),
+    "live": dict(base=60.0, most=100.0, forced=150.0, gate=25.0, emission=30.0, heading=35.0, transition=25.0, same=1.0, hop=25.0, far=-12.0, turn=True, beam=12, candidates=24, budget=60.0, forced_budget=150.0, least_budget=12.0, rival=30.0, slack=30.0),
+    "eval": dict(base=60.0, most=400.0, forced=400.0, gate=25.0, emission=30.0, heading=35.0, transition=25.0, same=0.5, hop=math.inf, far=-12.0, turn=False, beam=12, candidates=24, budget=math.inf, forced_budget=math.inf, least_budget=math.inf, rival=30.0, slack=30.0),
 }
 
 
@@ -34,6 +34,12 @@ def wrap180(x: float) -> float:
     return (x + 180) % 360 - 180
 
 
+def scales(lat: float) -> tuple[float, float]:
+    """Metres of a degree of latitude and of longitude, by series."""
+    p = math.radians(lat)
+    return 111132.92 - 559.82 * math.cos(2 * p) + 1.175 * math.cos(4 * p), 111412.84 * math.cos(p) - 93.5 * math.cos(3 * p)
+
+
 def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> tuple[float, float]:
     """North and east from the first point to the second."""
     return (lat2 - lat1) * 111_132.0, (lon2 - lon1) * 111_132.0 * math.cos(math.radians((lat1 + lat2) / 2))
@@ -89,8 +95,8 @@ def strapdown(preset: str = "live", **changes: Any) -> Step:
 
     def anchor(s: dict, e: dict) -> None:
         s["origin"] = s["origin"] or [e["lat"], e["lon"]]
-        n, _ = metres(s["origin"][0], s["origin"][1], e["lat"], e["lon"])
-        east = (e["lon"] - s["origin"][1]) * 111_132.0 * math.cos(math.radians(s["origin"][0]))
+        by_lat, by_lon = scales(s["origin"][0])
+        n, east = (e["lat"] - s["origin"][0]) * by_lat, (e["lon"] - s["origin"][1]) * by_lon
         s["p"] = [east, n, s["p"][2]]
         s["anchor"], s["drift"], s["distance"] = [east, n], 0.0, 0.0
         speed, bearing, acc = e.get("speed"), e.get("bearing"), e.get("acc")
@@ -154,8 +160,8 @@ def strapdown(preset: str = "live", **changes: Any) -> Step:
             s["v"] = [v * math.sin(s["heading"]), v * math.cos(s["heading"]), s["v"][2]]
         if not told:
             return None
-        lat = s["origin"][0] + s["p"][1] / 111_132.0
-        lon = s["origin"][1] + s["p"][0] / (111_132.0 * math.cos(math.radians(s["origin"][0])))
+        by_lat, by_lon = scales(s["origin"][0])
+        lat, lon = s["origin"][0] + s["p"][1] / by_lat, s["origin"][1] + s["p"][0] / by_lon
         return dict(t_ns=e["t_ns"], lat=lat, lon=lon, speed=math.hypot(s["v"][0], s["v"][1]), heading=math.degrees(s["heading"]), still=s["still"], drift=s["drift"], sigma=c["drift_share"] * s["distance"])
 
     return step
@@ -216,11 +222,12 @@ def compass(preset: str = "live") -> Step:
 # -- matcher ---------------------------------------------------------------------------------------------------------
 
 
-def matcher(preset: str = "live", **changes: Any) -> Step:
+def matcher(preset: str = "live", graph: Any = None, **changes: Any) -> Step:
     """Events: ``fix`` (lat, lon, course, speed, sigma, force, near), ``near`` being the candidate segments by distance:
     (seg, lat, lon, dist, bearing, oneway, cls). Incremental Viterbi over a beam of snapped points.
 
-    A call below the gate keeps the beam and, in the live preset, moves the last position on.
+    A call below the gate keeps the beam and, in the live preset, moves the last position on. With a road graph (and ``off``,
+    the offset, in ``near``) steps are compared with distances along the roads, within a slack; what can't be reached costs.
     """
     c = MATCHER[preset] | changes
 
@@ -252,6 +259,11 @@ def matcher(preset: str = "live", **changes: Any) -> Step:
             ways = []
             for h in s["beam"]:
                 hop = math.hypot(*metres(h["lat"], h["lon"], n["lat"], n["lon"]))
+                if graph is not None:
+                    way = graph.between((h["seg"], h["off"]), (n["seg"], n["off"]), moved + c["slack"] + 2 * c["transition"])
+                    t = c["far"] if math.isinf(way) else -0.5 * ((way - moved) / c["transition"]) ** 2
+                    ways.append(h["score"] + t + (c["same"] if h["seg"] == n["seg"] else 0.0))
+                    continue
                 t = -0.5 * ((hop - moved) / c["transition"]) ** 2
                 if h["seg"] == n["seg"]:
                     t += c["same"]
@@ -270,7 +282,7 @@ def matcher(preset: str = "live", **changes: Any) -> Step:
         correction = math.hypot(*metres(*here, head["lat"], head["lon"]))
         if correction > min(max(e["sigma"], c["least_budget"]), c["forced_budget"] if force else c["budget"]):
             return None
-        return dict(t_ns=e["t_ns"], lat=head["lat"], lon=head["lon"], seg=head["seg"], correction=correction, confidence=confidence)
+        return dict(t_ns=e["t_ns"], lat=head["lat"], lon=head["lon"], seg=head["seg"], correction=correction, confidence=confidence, bearing=head["bearing"])
 
     return step
 
@@ -341,6 +353,22 @@ def fold(events: DataFrame, key: str, make: Callable[[], Step], schema: str) ->
     return events.groupBy(key).applyInPandas(run, schema)
 
 
+def fold_on_roads(events: DataFrame, roads: DataFrame, key: str, make: Callable[[Any], Step], schema: str) -> DataFrame:
+    """The same beside the roads of each key (``seg_id, alat, alon, blat, blon, oneway, cls``), which ``make`` gets as a graph."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(pdf: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
+        from wayfold.operators.graph import RoadGraph
+
+        step, state, rows = make(RoadGraph(segments[["seg_id", "alat", "alon", "blat", "blon", "oneway", "cls"]].itertuples(index=False, name=None))), {}, []
+        for e in _events(pdf):
+            out = step(state, e)
+            rows += out if isinstance(out, list) else [] if out is None else [out]
+        return pd.DataFrame([{key: pdf[key].iloc[0]} | r for r in rows], columns=names)
+
+    return events.groupBy(key).cogroup(roads.groupBy(key)).applyInPandas(run, schema)
+
+
 def fold_stream(events: DataFrame, key: str, make: Callable[[], Step], schema: str) -> DataFrame:
     """The same over a stream: the state of each key is kept as JSON between micro-batches and never times out.
 

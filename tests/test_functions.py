@@ -156,14 +156,6 @@ def test_lag_and_receptive_field():
     assert learning.receptive_field([1, 2, 4, 8, 16, 32]) == 253
 
 
-def test_network_by_hand():
-    one = (np.ones((1, 1, 3)), np.zeros(1))
-    net = learning.CausalNetwork(np.zeros(1), np.ones(1), (np.ones((1, 1, 1)), np.zeros(1)), [(one, one, 2)], (np.ones((1, 1)), np.zeros(1)))
-    x = np.array([[[1.0, 2.0, 3.0, 4.0, 5.0]]])
-    y = [1, 2, 4, 6, 9]  # sums of every second value up to each time
-    assert net.forward(x)[0, 0] == 5 + (y[0] + y[2] + y[4])
-
-
 def test_satellite_speed(spark):
     rng = np.random.default_rng(3)
     rows = [(1, i, float(a), float(b), float(c), 0.6, 0.8, float(10 * (0.6 * a + 0.8 * b) + 2)) for i, (a, b, c) in enumerate(rng.normal(size=(6, 3)))]

@@ -36,3 +36,41 @@ def test_every_segment_is_routed(spark):
     got = registry.queries()["gr_05_07_routes"](spark, SF).collect()
     assert len(got) == len(rows)
     assert {r["req"]: (None if r["metres"] is None else round(r["metres"], 6), r["hops"]) for r in got} == want
+
+
+def test_components_of_all_roads(spark):
+    rows = relation(spark, SF, "d_seg").select("seg_id", "alat", "alon", "blat", "blon").collect()
+    q = 0.5 / 111_132.0
+    key = lambda a, b: f"{int((a / q + 0.5) // 1)}:{int((b / q + 0.5) // 1)}"
+    root: dict[str, str] = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        u, v = sorted((find(key(r["alat"], r["alon"])), find(key(r["blat"], r["blon"]))))
+        root[v] = u
+    least: dict[str, str] = {}
+    for n in root:
+        least[find(n)] = min(least.get(find(n), n), n)
+    got = {r["node"]: r["component"] for r in registry.queries()["gr_06_components"](spark, SF).collect()}
+    assert got == {n: least[find(n)] for n in root}
+
+
+def test_walks_and_distances_on_all_roads(spark):
+    seg = {r["seg_id"]: tuple(r) for r in relation(spark, SF, "d_seg").select("seg_id", "alat", "alon", "blat", "blon").collect()}
+    g = graph.RoadGraph(seg.values())
+    got = registry.queries()["gr_04_road_distances"](spark, SF).collect()
+    assert len(got) == len(seg)
+    for r in got[::17]:
+        want = g.between((r["req"], 20.0), (r["req"] + 5, 30.0), 400.0) if r["req"] + 5 in seg else float("inf")
+        assert r["metres"] == (None if want == float("inf") else pytest.approx(want))
+    walks = {}
+    for r in registry.queries()["gr_03_walks"](spark, SF).collect():
+        walks.setdefault(r["req"], []).append((r["rank"], r["seg"], r["direction"]))
+    assert set(walks) == set(seg)
+    for s in list(seg)[::23]:
+        assert [x[1:] for x in sorted(walks[s])] == [(a, w) for a, _, w, _ in g.advance([(s, 10.0, 1, 0.0)], 250.0)]

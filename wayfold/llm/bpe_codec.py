@@ -143,7 +143,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """``doc_id, ids array<int>`` and, if asked for, ``starts, ends array<int>`` in characters; one row for each row of ``df``.
 
     A null or empty text has no ids. Rows with repeated or null ids stay; an empty table gives an empty result; other
-    columns are not read. No shuffle; memory is that of one chunk of text.
+    columns are not read. No shuffle; memory is that of one chunk of text, and a very long text is a chunk of its own.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -177,7 +177,10 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> Data
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the encoded ids and what they decode to, as digests, in one pass."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the encoded ids and what they decode to, as digests, in one pass.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are as in :func:`encode`; ties do not arise.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def make():

@@ -142,7 +142,8 @@ def license_scan(df: DataFrame, text_col: str = "text", least: float = 0.5, shar
     ``licenses`` are the confirmed families, sorted, joined by commas. A paragraph is listed, its lines joined by blanks,
     if it matches the gate or is confirmed; if lines of it are confirmed by themselves, the lines are listed instead, and
     the paragraph beside the confirmed ones only if it adds a family. Null and empty texts have none. Rows are judged one
-    by one, repeated ones alike; an empty table stays empty. Columns of ``df`` with a result's name are replaced.
+    by one, repeated ones alike; an empty table stays empty; of very long texts only paragraphs that could hold a notice are classified. Equal
+    scores go to the family that comes first. Columns of ``df`` with a result's name are replaced.
     """
     classes, weights, bias, temperature = fitted()
     sql = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")

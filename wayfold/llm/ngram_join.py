@@ -44,8 +44,8 @@ COUNTED, BRIEF, UPPER = np.uint64(1 << 63), 64, 100
 PRINT_BITS, SET_BYTES = 44, 6
 #: Buckets of prints: a bucket is counted in one piece, so their number grows with the input (bytes for each, bits at least and most).
 BUCKET_INPUT, BUCKET_BITS = 1 << 25, (12, 20)
-#: Sets on either side of a part of a block, on average.
-PART = 1000
+#: Sets on either side of a part of a block, on average; parts in which the rows of a hot shingle come to a join.
+PART, PARTS = 1000, 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -423,7 +423,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     rows = wide.where("prefix IS NOT NULL").select("sig", "n", "dropped", "hot", F.explode(F.arrays_zip("prefix", "pos")).alias("t")).select(F.col("t.prefix").alias("token"), "sig", "n", F.col("t.pos").alias("pos"), F.expr("array_contains(hot, t.pos)").alias("is_hot"), "dropped")
     rare = rows.where("NOT is_hot").select("token", "sig", "n", "pos", "dropped").repartition("token").sortWithinPartitions("token", "sig").mapInArrow(released(_shared), "token long, sig long, n long, pos int, dropped int")
     hot = rows.where("is_hot").select("token", "sig", "n", "pos", "dropped").dropDuplicates(["token", "sig"])
-    met = scratch.keep(rare.union(hot), tidy=True)
+    met = scratch.keep(rare.withColumn("hot", F.lit(False)).union(hot.withColumn("hot", F.lit(True))), tidy=True)
     nodes = scratch.keep(wide.select("doc_id", "uid", "sig", "n"))
     scratch.drop(wide)
     # how much of a set's prefix is shared: copies that were hardly changed come first, and are near to the most others
@@ -438,8 +438,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     sets = scratch.bucketed(_sets(texts, width, often), "sig")
 
     # blocks: each shingle's nodes under its hub
-    hubs = shared.groupBy("token").agg(F.min_by("sig", F.struct(-F.col("central"), "sig")).alias("hub"))
-    blocks = scratch.keep(shared.select("token", "sig").join(hubs, "token").where("hub <> sig").select("hub", "sig").distinct(), tidy=True)
+    hubs = shared.groupBy("token", "hot").agg(F.min_by("sig", F.struct(-F.col("central"), "sig")).alias("hub"))
+    cold = shared.where("NOT hot").select("token", "sig").join(hubs.where("NOT hot").select("token", "hub"), "token").select("hub", "sig")
+    parts = hubs.where("hot").select("token", "hub", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    hot = shared.where("hot").select("token", "sig", F.expr(f"CAST(pmod(xxhash64(sig), {PARTS}) AS INT)").alias("part")).join(parts, ["token", "part"]).select("hub", "sig")
+    blocks = scratch.keep(cold.union(hot).where("hub <> sig").distinct(), tidy=True)
     near = scratch.keep(_links(blocks.select(F.col("hub").alias("a"), F.col("sig").alias("b")), sets), tidy=True)
 
     rest = blocks.join(near.select(F.col("a").alias("hub"), F.col("b").alias("sig"), F.lit(True).alias("linked")), ["hub", "sig"], "left")

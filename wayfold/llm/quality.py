@@ -67,7 +67,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_lost_percent: int =
     """``df`` with the counts of :func:`with_counts`, ``n_lines``, ``n_removed_lines``, ``lost_chars``, ``cleaned``, ``base_failed`` and ``kept``.
 
     A null text has no words, so it is not kept; the same holds for empty texts. Rows are judged one by one: ties and
-    repeated rows change nothing, an empty table stays empty. Columns of ``df`` that carry a result's name are replaced;
+    repeated rows change nothing, an empty table stays empty; a very long text takes memory for its words and lines. Columns of ``df`` that carry a result's name are replaced;
     all others are passed on (names that start with ``_q_`` are the operator's own).
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_removed_lines", "lost_chars", "cleaned", "base_failed", "kept")

@@ -116,7 +116,7 @@ class Counter:
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, path: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``df``.
 
-    One pass without a shuffle; memory is that of one chunk of text. A null text counts as empty: 0 bytes, 0 tokens. Rows
+    One pass without a shuffle; memory is that of one chunk of text, and a very long text is a chunk of its own. A null text counts as empty: 0 bytes, 0 tokens. Rows
     with equal or null ids stay as they are, one result each. An empty table gives an empty result. Other columns are
     not read, so their names don't matter. ``path`` is a byte-level ``.json`` vocabulary, readable on every executor.
     """

@@ -128,7 +128,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     The models hold every string that was counted over all labelled URLs. The whole URL is judged, its host in lower case.
     The threshold is the one that errs least on the labelled URLs of both classes, each weighing the same, in steps of
     0.01. If one of the classes has no URL, there is no ratio, and all others are allowed. A null URL, or one without
-    ``://``, has empty host and path and no rule; it is judged by what text it has. Rows with repeated ids or URLs each
+    ``://``, has empty host and path and no rule; it is judged by what text it has, a very long one character by character
+    as well. Of thresholds that err as little the middle one is taken. Rows with repeated ids or URLs each
     get a result; an empty table gives none. Other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "url_filter")

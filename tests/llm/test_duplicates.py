@@ -99,7 +99,7 @@ def brute_repeats(rows, size=200):
     return out
 
 
-@pytest.mark.parametrize("often, many", [(2, 4096), (16, 4096), (16, 3)])
+@pytest.mark.parametrize("often, many", [(2, 1024), (16, 1024), (16, 3)])
 def test_repeats(docs, monkeypatch, often, many):
     monkeypatch.setattr(repeats, "OFTEN", often)
     monkeypatch.setattr(repeats, "MANY", many)

@@ -31,7 +31,7 @@ from wayfold.llm.scratch import Scratch
 
 #: Length of the k-gram that is the first digit, in a threshold of 200; runs of one digit in a chunk that make it frequent;
 #: runs of one digit, of all tasks, beyond which its suffixes are dealt out.
-GRAM, OFTEN, MANY = 64, 16, 4096
+GRAM, OFTEN, MANY = 64, 16, 1024
 #: Repeated windows of a frequent digit in one slot, on average; parts in which its runs come to a join.
 LISTED, SALTS = 1 << 16, 64
 #: Bytes of runs that are refined at once.

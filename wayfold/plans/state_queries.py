@@ -37,9 +37,23 @@ def _imu_events(spark, sf):
 TRACK = "session long, t_ns long, lat double, lon double, speed double, heading double, still boolean, drift double, sigma double"
 
 
+def _steering(spark, sf):
+    """Yaw rates, headings, the model's speed and stand-stills, and roads."""
+    f, at = fix(spark, sf), lambda ns: (F.col("seq") * 100_000_000 + ns).alias("t_ns")
+    yaw = f.where("event_id % 3 = 0").select("session", at(31_000_000), F.col("seq").alias("row_seq"), F.lit("yaw").alias("kind"), F.radians(F.col("used") - 4.0).alias("rate"), F.lit(0.1).alias("dt"))
+    heading = f.where("event_id % 31 = 0").select("session", at(32_000_000), F.col("seq").alias("row_seq"), F.lit("heading").alias("kind"), F.col("bearing").alias("deg"))
+    model = f.where("event_id % 5 = 0").select("session", at(61_000_000), F.col("seq").alias("row_seq"), F.lit("model").alias("kind"), "speed", F.lit(0.3).alias("weight"))
+    still = f.where("event_id % 7 = 0").select("session", at(62_000_000), F.col("seq").alias("row_seq"), F.lit("still").alias("kind"), (F.col("used") < 2).alias("flag"))
+    road = f.where("event_id % 4 = 0").select("session", at(63_000_000), F.col("seq").alias("row_seq"), F.lit("road").alias("kind"), (F.col("acc") * 11).alias("bearing"), F.lit(0.35).alias("gain"))
+    out = yaw
+    for part in (heading, model, still, road):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 @query()
 def st_01_strapdown_live(spark, sf):
-    return folds.fold(_imu_events(spark, sf), "session", lambda: folds.strapdown("live", max_dt=0.2), TRACK)
+    return folds.fold(_imu_events(spark, sf).unionByName(_steering(spark, sf), allowMissingColumns=True), "session", lambda: folds.strapdown("live", max_dt=0.2), TRACK)
 
 
 @query()

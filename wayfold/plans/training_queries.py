@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import learning, training
+from wayfold.operators import learning, losses, training
 from wayfold.plans.fixtures import oracle, relation
 from wayfold.plans.series_queries import fix, pred, r
 
@@ -164,6 +164,30 @@ def ml_14_receptive_fields(spark, sf):
     return spark.createDataFrame([(Geometry.of(names(6)).receptive_field(), Geometry.of(names(3)).receptive_field())], "field int, small int")
 
 
+_TERMS = ("displacement", "stationary", "physics", "yaw", "smoothness", "nhc", "total")
+
+
+@query(f"""WITH c AS (SELECT *, seq // 10 AS g, session % 10 AS batch FROM {CHAN}),
+w AS (SELECT batch, session, g, avg(model_speed) AS mu, least(4, greatest(-6, avg(yaw) * 20)) AS lv, avg(speed) AS y, 1 + max(session) % 3 AS wt, avg(speed) - 7 AS z, avg(speed) < 6 AS st, avg(model_yaw) AS yr, CASE WHEN avg(speed) >= 5 THEN avg(yaw) END AS ty, min(t_s) / 7 AS t0 FROM c GROUP BY 1, 2, 3),
+p AS (SELECT batch, CASE WHEN sum(CAST(st AS INTEGER)) > 0 THEN sum(1 - CAST(st AS INTEGER)) / CAST(sum(CAST(st AS INTEGER)) AS DOUBLE) ELSE 1 END AS pw FROM w GROUP BY 1),
+s AS (SELECT *, mu - lag(mu) OVER o AS dm, t0 - lag(t0) OVER o AS dt FROM w WINDOW o AS (PARTITION BY session ORDER BY g)),
+a AS (SELECT batch, sum((lv / 2 + pow(y - mu, 2) / exp(lv) / 2) * wt) / sum(wt) AS displacement, avg(CASE WHEN st THEN pw * ln(1 + exp(-z)) ELSE ln(1 + exp(z)) END) AS stationary, coalesce(avg(abs(yr - ty)), 0) AS yaw, coalesce(avg(abs(dm)) FILTER (dt > 0 AND dt <= CAST(1.5 AS DOUBLE)), 0) AS smoothness FROM s JOIN p USING (batch) GROUP BY 1),
+f AS (SELECT batch, avg(pow(model_speed - v0 - a0, 2)) AS physics FROM (SELECT batch, model_speed, lag(model_speed) OVER o AS v0, lag(yaw) OVER o AS a0 FROM c WINDOW o AS (PARTITION BY session, g ORDER BY seq)) GROUP BY 1),
+n AS (SELECT batch, avg(pow(mu * sin(h), 2)) AS nhc FROM (SELECT c.batch, w.mu, sum(gyro_yaw) OVER (PARTITION BY c.session, c.g ORDER BY seq ROWS UNBOUNDED PRECEDING) / 10 AS h FROM c JOIN w ON w.session = c.session AND w.g = c.g) GROUP BY 1)
+SELECT batch, round(displacement, 5) AS displacement, round(stationary, 5) AS stationary, round(coalesce(physics, 0), 5) AS physics, round(yaw, 5) AS yaw, round(smoothness, 5) AS smoothness, round(nhc, 5) AS nhc,
+ round(displacement + stationary / 2 + coalesce(physics, 0) * CAST(0.3 AS DOUBLE) + yaw / 5 + smoothness / 10 + nhc / 20, 5) AS total FROM a JOIN f USING (batch) JOIN n USING (batch)""")
+def ml_09_multitask(spark, sf):
+    c = relation(spark, sf, "d_chan").withColumns({"g": F.floor(F.col("seq") / 10).cast("long"), "batch": F.col("session") % 10})
+    rows = F.array_sort(F.collect_list(F.struct("seq", "model_speed", "yaw", "gyro_yaw")))
+    w = c.groupBy("batch", "session", "g").agg(*(F.avg(x).alias(x) for x in ("model_speed", "speed", "model_yaw", "yaw")), F.min("t_s").alias("t"), rows.alias("rows"))
+    pick = lambda x, k=1.0: F.transform("rows", lambda q: q[x] * k)
+    w = w.select(
+        "batch", "session", "g", F.col("model_speed").alias("mu"), (F.col("yaw") * 20).alias("logvar"), F.col("speed").alias("displacement"), (1 + F.col("session") % 3).cast("double").alias("weight"), (F.col("speed") - 7).alias("logit"), (F.col("speed") < 6).alias("stationary"),
+        F.col("model_yaw").alias("yaw_rate"), F.when(F.col("speed") >= 5, F.col("yaw")).otherwise(F.lit(float("nan"))).alias("true_yaw"), (F.col("t") / 7).alias("t0"), pick("model_speed").alias("v_seq"), pick("yaw", 10.0).alias("a_seq"), pick("gyro_yaw").alias("gyro_yaw"),
+    )
+    return losses.multitask(w, "batch", "session", "g", "t0").select("batch", *(r(x, 5).alias(x) for x in _TERMS))
+
+
 # scores
 
 def _track(spark, sf):

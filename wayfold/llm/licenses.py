@@ -13,6 +13,7 @@ import json
 import math
 import random
 import re
+import zlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -52,6 +53,7 @@ OTHERS = (
 GATE = r"licen[cs]|copyright|\brights reserved|\bpermission|redistribut|public domain|creative commons|\bcc[ -]?(by|0)|\bgpl|spdx"
 #: Between paragraphs: line breaks around lines that are empty or have comment marks only.
 BREAK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+BUCKETS = 256
 WORDS = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 
 
@@ -124,16 +126,31 @@ def predict(text: str, least: float = 0.5, share: float = 0.6) -> tuple[str, boo
     return family, family != UNKNOWN and any(len(words & set(t.split())) >= share * len(set(t.split())) for t in TEMPLATES[family])
 
 
+def prefixed(words: set[str]) -> str:
+    """Pattern of any of the words in which those that begin alike share their beginning: it is tried once at each place."""
+    heads: dict[str, set[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], set()).add(w[1:])
+    parts = []
+    for c, rest in sorted(heads.items(), reverse=True):  # an empty rest comes last: longer words first
+        while c and len(rest) == 1 and (only := next(iter(rest))):
+            c, rest = c + only[0], {only[1:]}
+        parts.append(re.escape(c) + (prefixed(rest) if rest != {""} else ""))
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def possible(share: float) -> str:
     """Pattern that every text matches of which some template could be confirmed, and every text that matches the gate.
 
-    Of each template it has so many words, the longest, that the others are too few for ``share``.
+    Of each template it has so many words, the longest, that the others are too few for ``share``. Blanks of the gate may
+    be line breaks, so that wrapped lines need not be joined first.
     """
     words = set()
     for t in (t for ts in TEMPLATES.values() for t in ts):
         own = sorted(set(t.split()), key=lambda w: (-len(w), w))
         words |= set(own[: len(own) - math.ceil(share * len(own) - 1e-9) + 1])
-    return f"{GATE}|(?<![a-z0-9])(?:{'|'.join(sorted(map(re.escape, words)))})(?![a-z0-9])"
+    gate = GATE.replace("[ -]", "[ \\n-]").replace(" ", "[ \\n]").replace("[[ \\n]\\n-]", "[ \\n-]")
+    return f"{gate}|(?<![a-z0-9]){prefixed(words)}(?![a-z0-9])"
 
 
 def license_scan(df: DataFrame, text_col: str = "text", least: float = 0.5, share: float = 0.6) -> DataFrame:
@@ -147,12 +164,16 @@ def license_scan(df: DataFrame, text_col: str = "text", least: float = 0.5, shar
     """
     classes, weights, bias, temperature = fitted()
     sql = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
-    table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
+    # a map is searched from its beginning, so the weights lie in many small ones, by the checksum of the gram
+    dealt: list[dict] = [{} for _ in range(BUCKETS)]
+    for g, w in weights.items():
+        dealt[zlib.crc32(g.encode()) % BUCKETS][g] = w
+    table = F.from_json(F.lit(json.dumps(dealt)), "array<map<string,array<double>>>")
     templates = F.from_json(F.lit(json.dumps({c: [t.split() for t in ts] for c, ts in TEMPLATES.items()})), "map<string,array<array<string>>>")
     names = ("paragraphs", "n_paragraphs", "n_unknown", "licenses")
     a = df.withColumn("_l_text", F.col(f"`{text_col}`").cast("string")).drop(*(c for c in df.columns if c.lower() in names))
     gate, maybe = sql(GATE), sql(possible(share))
-    a = a.withColumn("_l_blocks", F.expr(f"CASE WHEN lower(_l_text) rlike '{maybe}' OR lower(replace(_l_text, '\\n', ' ')) rlike '{gate}' THEN filter(split(_l_text, '{sql(BREAK)}'), b -> lower(replace(b, '\\n', ' ')) rlike '{maybe}') ELSE array() END"))
+    a = a.withColumn("_l_blocks", F.expr(f"CASE WHEN lower(_l_text) rlike '{maybe}' THEN filter(split(_l_text, '{sql(BREAK)}'), b -> lower(b) rlike '{maybe}') ELSE array() END"))
     a = a.withColumn("_l_split", F.expr("transform(_l_blocks, b -> filter(split(b, '\\n'), l -> l rlike '[\\\\p{L}\\\\p{N}]'))"))
     a = a.withColumn("_l_lines", F.expr(f"transform(_l_split, u -> CASE WHEN size(u) = 1 THEN u ELSE concat(filter(u, l -> lower(l) rlike '{maybe}'), array(array_join(u, ' '))) END)"))
     start = "array(" + ", ".join(f"{b}D" for b in bias) + ")"
@@ -160,7 +181,7 @@ def license_scan(df: DataFrame, text_col: str = "text", least: float = 0.5, shar
     a = a.withColumns({"_l_weights": F.when(F.size("_l_lines") > 0, table), "_l_templates": F.when(F.size("_l_lines") > 0, templates)})
     a = a.withColumn("_l_words", F.expr(f"transform(_l_lines, u -> transform(u, l -> named_struct('l', l, 'w', regexp_extract_all(lower(l), '{sql(WORDS)}', 0))))"))
     a = a.withColumn("_l_grams", F.expr("transform(_l_words, u -> transform(u, x -> named_struct('l', x.l, 'w', x.w, 'g', array_distinct(concat(x.w, zip_with(slice(x.w, 1, greatest(size(x.w) - 1, 0)), slice(x.w, 2, greatest(size(x.w) - 1, 0)), (p, q) -> concat(p, ' ', q)))))))"))
-    score = f"aggregate(x.g, {start}, (s, g) -> zip_with(s, coalesce(try_element_at(_l_weights, g), {zero}), (p, q) -> p + q))"
+    score = f"aggregate(x.g, {start}, (s, g) -> zip_with(s, coalesce(try_element_at(element_at(_l_weights, CAST(crc32(encode(g, 'UTF-8')) % {BUCKETS} AS INT) + 1), g), {zero}), (p, q) -> p + q))"
     a = a.withColumn("_l_scores", F.expr(f"transform(_l_grams, u -> transform(u, x -> named_struct('l', x.l, 'w', x.w, 's', {score})))"))
     family = "element_at(array(" + ", ".join(f"'{c}'" for c in classes) + "), CAST(array_position(x.s, array_max(x.s)) AS INT))"
     a = a.withColumn("_l_named", F.expr(f"transform(_l_scores, u -> transform(u, x -> named_struct('l', x.l, 'w', x.w, 'f', {family}, 'p', 1 / aggregate(x.s, 0D, (t, v) -> t + exp((v - array_max(x.s)) / {temperature}D)))))"))

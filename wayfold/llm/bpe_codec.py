@@ -24,8 +24,8 @@ from wayfold.llm.pretokens import Splitter
 from wayfold.llm.token_counts import byte_characters
 
 
-#: Distinct pattern matches whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct pattern matches whose ids a worker keeps; bytes of text that are cut into matches at once.
+CACHE, AT_ONCE = 400_000, 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -160,7 +160,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         return work
 
     more = ", starts array<int>, ends array<int>" if offsets else ""
-    return map_texts(df, id_col, text_col, f"doc_id {_id_kind(df, id_col)}, ids array<int>{more}", make)
+    return map_texts(df, id_col, text_col, f"doc_id {_id_kind(df, id_col)}, ids array<int>{more}", make, AT_ONCE)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -197,4 +197,4 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         return work
 
-    return map_texts(df, id_col, text_col, f"doc_id {_id_kind(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_texts(df, id_col, text_col, f"doc_id {_id_kind(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string", make, AT_ONCE)

@@ -162,9 +162,10 @@ def gn_03_solve_full(spark, sf):
     return gnss.solve(s, ["session", "epoch"], "full")
 
 
-@query()
+@query(f"""WITH x AS (SELECT session, seq, speed - avg(speed) OVER (PARTITION BY session) AS a, acc - avg(acc) OVER (PARTITION BY session) AS b FROM {FIX}), c AS (SELECT x.session, x.seq - y.seq AS lag, sum(x.a * y.b) AS s FROM x JOIN x y ON y.session = x.session GROUP BY 1, 2),
+n AS (SELECT session, count(*) AS n, sqrt(sum(a * a) * sum(b * b)) AS d FROM x GROUP BY 1) SELECT n.session, CASE WHEN max(n) < 16 THEN 0 ELSE arg_max(lag, s) END AS lag, CASE WHEN max(n) < 16 THEN 0 ELSE round(max(s) / max(d), 6) END AS peak FROM c JOIN n ON n.session = c.session GROUP BY 1""")
 def sig_01_lags(spark, sf):
-    return learning.lags(fix(spark, sf).select("session", "seq", "speed", "acc"), "session", "seq", "speed", "acc")
+    return learning.lags(fix(spark, sf).select("session", "seq", "speed", "acc"), "session", "seq", "speed", "acc").withColumn("peak", r("peak"))
 
 
 @query(f"""SELECT session, round(d0, 4) AS w0 FROM (SELECT session, (t0 * (s11 * s22 - s12 * s12) - s01 * (t1 * s22 - s12 * t2) + s02 * (t1 * s12 - s11 * t2)) / nullif(s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02), 0) AS d0 FROM
@@ -184,7 +185,7 @@ def ml_07_hold_out(spark, sf):
     return pred(spark, sf).where(F.col("run").isin(3, 5, 8)).select("run", "i", "truth")
 
 
-@query()
+@query(f"WITH x AS (SELECT run, i, truth > 45 AS fast FROM {PRED}), k AS (SELECT count(*) AS n, count(*) FILTER (fast) AS f FROM x) SELECT run, i, fast, unnest(range(1, CASE WHEN fast THEN CAST(least(3, greatest(1, ceil(3 * (n - f) / (7 * CAST(f AS DOUBLE))))) AS INTEGER) ELSE 1 END + 1)) AS copy FROM x, k")
 def ml_04_upsampled(spark, sf):
     return learning.upsampled(pred(spark, sf).withColumn("fast", F.col("truth") > 45).select("run", "i", "fast"), "fast", "i")
 

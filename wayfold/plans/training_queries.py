@@ -80,9 +80,11 @@ def _runs(spark, sf):
     return v.withColumns({"ax": F.lit(0.0), "ay": F.lit(0.0), "az": F.lit(9.8), "gx": F.lit(0.0), "gy": F.lit(0.0), "slat": F.coalesce(late("vlat"), F.col("vlat")), "slon": F.coalesce(late("vlon"), F.col("vlon"))})
 
 
-@query()
+@query(f"""WITH v AS (SELECT session, seq, sin(seq * CAST(0.23 AS DOUBLE) + session) * 12 AS t FROM {FIX}), g AS (SELECT session, seq, t, coalesce(lag(t, 3) {W}, t) AS d FROM v),
+x AS (SELECT session, seq, radians(d) - avg(radians(d)) OVER (PARTITION BY session) AS a, radians(t) - avg(radians(t)) OVER (PARTITION BY session) AS b FROM g), c AS (SELECT x.session, x.seq - y.seq AS lag, sum(x.a * y.b) AS s FROM x JOIN x y ON y.session = x.session GROUP BY 1, 2),
+n AS (SELECT session, sqrt(sum(a * a) * sum(b * b)) AS d FROM x GROUP BY 1) SELECT n.session, arg_max(lag, s) AS lag, round(max(s) / max(d), 6) AS r, 1 AS sign FROM c JOIN n ON n.session = c.session GROUP BY 1 HAVING count(*) >= 31 UNION ALL SELECT session, 0, 0, 1 FROM {FIX} GROUP BY 1 HAVING count(*) < 16""")
 def sig_02_fine_lags(spark, sf):
-    return training.fine_lags(_runs(spark, sf), "session", "seq", ("gx", "gy", "gz"), ("ax", "ay", "az"), "vyaw")
+    return training.fine_lags(_runs(spark, sf), "session", "seq", ("gx", "gy", "gz"), ("ax", "ay", "az"), "vyaw").withColumn("r", r("r"))
 
 
 @query()

@@ -454,15 +454,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     parts = probes.union(leaves).join(sets, "sig").groupBy("hub", "i", "j").applyInPandas(_decide_part, "a long, b long")
     others = scratch.keep(parts.distinct(), tidy=True)
 
-    classes = _united(mine.select("sig", F.col("sig").alias("class")), near.union(others), scratch)
+    # a node goes by its least id, so that the least node of a class names it and no class need meet in one task
+    named = nodes.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k")).select("sig", F.struct("k.none", "k.doc_id", "sig").alias("vertex"))
+    classes = _united(mine.select("sig").join(named, "sig").select("sig", F.col("vertex").alias("class")), near.union(others), scratch)
     scratch.forget()
     scratch.drop(blocks, near, others, shared, sets)
 
-    own = nodes.where("sig IS NOT NULL").join(classes, "sig", "left").select("doc_id", "uid", "n", F.coalesce("class", "sig").alias("class"))
-    least = own.groupBy("class").agg(F.min("doc_id").alias("least"))
-    classed = own.join(least, "class").select("doc_id", "uid", "class", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    alone = nodes.where("sig IS NULL").select("doc_id", "uid", F.lit(None).cast("long").alias("class"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return classed.unionByName(alone)
+    labels = named.join(classes, "sig", "left").select("sig", F.coalesce("class", "vertex").alias("class"))
+    classed = nodes.where("sig IS NOT NULL").join(labels, "sig").select("doc_id", "uid", "class", F.col("n").alias("n_shingles"), F.col("class.doc_id").alias("component_id"))
+    alone = nodes.where("sig IS NULL").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return classed.unionByName(alone, allowMissingColumns=True)
 
 
 def _edges(classes: DataFrame, links: DataFrame) -> DataFrame:

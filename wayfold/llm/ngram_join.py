@@ -438,11 +438,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     sets = scratch.bucketed(_sets(texts, width, often), "sig")
 
     # blocks: each shingle's nodes under its hub
-    hubs = shared.groupBy("token", "hot").agg(F.min_by("sig", F.struct(-F.col("central"), "sig")).alias("hub"))
+    hubs = scratch.keep(shared.groupBy("token", "hot").agg(F.min_by("sig", F.struct(-F.col("central"), "sig")).alias("hub")), tidy=True)
     cold = shared.where("NOT hot").select("token", "sig").join(hubs.where("NOT hot").select("token", "hub"), "token").select("hub", "sig")
     parts = hubs.where("hot").select("token", "hub", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     hot = shared.where("hot").select("token", "sig", F.expr(f"CAST(pmod(xxhash64(sig), {PARTS}) AS INT)").alias("part")).join(parts, ["token", "part"]).select("hub", "sig")
     blocks = scratch.keep(cold.union(hot).where("hub <> sig").distinct(), tidy=True)
+    scratch.drop(hubs)
     near = scratch.keep(_links(blocks.select(F.col("hub").alias("a"), F.col("sig").alias("b")), sets), tidy=True)
 
     rest = blocks.join(near.select(F.col("a").alias("hub"), F.col("b").alias("sig"), F.lit(True).alias("linked")), ["hub", "sig"], "left")

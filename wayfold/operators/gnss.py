@@ -100,8 +100,8 @@ def accepted(estimates: DataFrame, most: float) -> DataFrame:
     return estimates.where(F.col("sigma") <= most)
 
 
-#: Fixed values of the sweep: noise of a range rate, of the clock's drift, of the course, gate of the sigma, elevation mask.
-SWEEP = dict(rate=0.3, drift=1.0, course_deg=3.0, sigma=2.0, mask=15.0)
+#: Fixed values of the sweep: epochs of a track, noise of a range rate, of the clock's drift, of the course, gate of the sigma, elevation mask.
+SWEEP = dict(epochs=40, rate=0.3, drift=1.0, course_deg=3.0, sigma=2.0, mask=15.0)
 NEEDS = {"coast": 1, "nhc": 2, "flat": 3, "full": 4}
 
 
@@ -114,10 +114,13 @@ def _noise(salt: int, *keys: str):
 def sweep(epochs: DataFrame, trials: int = 2, most: int = 4) -> DataFrame:
     """``strategy, mode, n, total, kept, rmse``: errors of the speed by strategy of choice, estimator and number of satellites.
 
+    Of a track (``session``, rows numbered by ``seq``) about forty epochs are taken, evenly spread, and all of a shorter one.
     Noise hangs on the epoch, satellite and trial, so a sweep can be repeated. An estimate whose sigma is beyond the gate
     counts in ``total`` alone.
     """
     spark, c = epochs.sparkSession, SWEEP
+    every = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("session")) / c["epochs"]))
+    epochs = epochs.withColumn("_every", every).where("seq % _every = 0").drop("_every")
     sats = visible(constellation(spark, epochs.withColumn("t", F.col("t_s")), "t"), mask_deg=c["mask"])
     sats = sats.withColumns({"te": F.sin(F.radians("bearing")), "tn": F.cos(F.radians("bearing"))}).withColumn("dot", F.col("le") * F.col("te") + F.col("ln") * F.col("tn"))
     sats = sats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))

@@ -45,13 +45,13 @@ def seg(spark: SparkSession, sf: str) -> DataFrame:
 _T = "greatest(0, least(1, ((lon - alon) * k * (blon - alon) * k + (lat - alat) * 111132 * (blat - alat) * 111132) / (pow((blon - alon) * k, 2) + pow((blat - alat) * 111132, 2))))"
 
 
-@query(f"""WITH p AS (SELECT session, seq, lat, lon, {_tx("lon")} AS tx, {_ty("lat")} AS ty, 111132 * cos(radians(lat)) AS k FROM {FIX} WHERE lat < 22.36),
+@query(f"""WITH p AS (SELECT session, seq, lat, lon, {_tx("lon")} AS tx, {_ty("lat")} AS ty, 111132 * cos(radians(lat)) AS k FROM {FIX}),
 s AS (SELECT *, {_tx("alon")} AS ax, {_ty("alat")} AS ay, {_tx("blon")} AS bx, {_ty("blat")} AS by_ FROM {SEG}),
 x AS (SELECT session, seq, seg_id, lat, lon, k, alat, alon, blat, blon, {_T} AS t FROM p JOIN s ON abs(alat - lat) < CAST(0.01 AS DOUBLE) AND abs(alon - lon) < CAST(0.01 AS DOUBLE) WHERE (abs(tx - ax) <= 1 AND abs(ty - ay) <= 1) OR (abs(tx - bx) <= 1 AND abs(ty - by_) <= 1)),
 y AS (SELECT session, seq, seg_id, sqrt(pow((alat + (blat - alat) * t - lat) * 111132, 2) + pow((alon + (blon - alon) * t - lon) * 111132 * cos(radians((lat + alat + (blat - alat) * t) / 2)), 2)) AS dist FROM x)
 SELECT session, seq, seg_id, round(dist, 3) AS dist FROM y WHERE dist <= 60""")
 def jn_11_tile_candidates(spark, sf):
-    c = corridor.tile_candidates(fix(spark, sf).where("lat < 22.36"), seg(spark, sf), ["session", "seq"], 60.0)
+    c = corridor.tile_candidates(fix(spark, sf), seg(spark, sf), ["session", "seq"], 60.0)
     return c.select("session", "seq", "seg_id", r("dist", 3).alias("dist"))
 
 
@@ -285,7 +285,7 @@ def st_11_replay(spark, sf):
 
 @query()
 def gn_04_sweep(spark, sf):
-    t = fix(spark, sf).where("seq % 40 = 0").select("session", "seq", "t_s", "lat", "lon", "speed", "bearing")
+    t = fix(spark, sf).select("session", "seq", "t_s", "lat", "lon", "speed", "bearing")
     return gnss.sweep(t)
 
 

@@ -16,7 +16,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
-@pytest.mark.parametrize("name", ["geo_01_haversine", "rot_08_triad", "jn_01_interpolate", "jn_10_candidates", "win_09_clock_runs", "win_12_throttle", "agg_14_path_length", "src_13_14_ways", "gr_02_successors", "scl_07_drift_colour", "rot_07_frame_from_up", "geo_06_geodesic", "agg_27_drift_totals", "ml_18_swapped_channels", "ml_03_phone_set", "jn_15_corridors", "win_06_sliding"])
+@pytest.mark.parametrize("name", ["geo_01_haversine", "rot_08_triad", "jn_01_interpolate", "jn_10_srt_01_candidates", "win_09_clock_runs", "win_12_throttle", "agg_14_path_length", "src_13_14_ways", "gr_02_successors", "scl_07_drift_colour", "rot_07_frame_from_up", "geo_06_geodesic", "agg_27_drift_totals", "ml_18_swapped_channels", "ml_03_phone_set", "jn_15_corridors", "win_06_sliding"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

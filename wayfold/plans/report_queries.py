@@ -71,7 +71,7 @@ def scl_12_url_template(spark, sf):
 
 
 @query("SELECT p_partkey, left(sha1(p_name), 8) AS key FROM part")
-def scl_14_cache_key(spark, sf):
+def scl_14_src_15_cache_key(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", texts.cache_key(F.col("p_name")).alias("key"))
 
 

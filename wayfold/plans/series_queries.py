@@ -140,7 +140,7 @@ def _cand_sql() -> str:
 
 
 @query(f"SELECT session, seq, seg_id, round(dist, 4) AS dist, CAST(rank AS BIGINT) AS rank FROM ({_cand_sql()})")
-def jn_10_candidates(spark, sf):
+def jn_10_srt_01_candidates(spark, sf):
     c = spatial.candidates(fix(spark, sf), relation(spark, sf, "d_seg"), ["session", "seq"], 150.0)
     return c.select("session", "seq", "seg_id", r("dist", 4).alias("dist"), F.col("rank").cast("long").alias("rank"))
 

@@ -170,7 +170,7 @@ def _roads(spark, sf) -> DataFrame:
 
 
 @query()
-def st_04_along_road(spark, sf):
+def st_04_04b_along_road(spark, sf):
     f = fix(spark, sf)
     e = f.select("session", (F.col("seq") * 1_000_000_000).alias("t_ns"), F.lit("tick").alias("kind"), "lat", "lon", F.col("bearing").alias("course"), (F.col("seq") % 40 >= 5).alias("unaided"), ((F.col("seq") % 40) * 20.0).alias("drift"), F.concat_ws("/", F.expr(geo.tile_x("lon", 15)), F.expr(geo.tile_y("lat", 15))).alias("block"))
     return folds.fold_on_roads(e, _roads(spark, sf), "session", tracking.along_road, "session long, t_ns long, lat double, lon double, seg long, heading double, correction double, confidence double")

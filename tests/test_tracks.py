@@ -250,3 +250,10 @@ def test_geodesic_is_not_the_sphere(spark):
     d = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 1.0, 0.0), (50.0, 10.0, 50.0, 10.0)], "a double, b double, c double, d double")
     got = [r[0] for r in d.select(reports.geodesic_metres("a", "b", "c", "d")).collect()]
     assert got == pytest.approx([111319.491, 110574.389, 0.0], abs=0.01)
+
+
+def test_compared_models_sum_along_the_track(spark):
+    e = [1e16, -1e16, 3.0, 0.0, 0.0, 0.0]  # 3 in this order, else 4 or 2
+    rows = [(1, k, 0.0, x, 0.0, 0.0, 0.0, True) for k, x in enumerate(e)]
+    d = spark.createDataFrame(rows[::-1], "s long, i long, speed double, model double, heading double, east double, north double, drive boolean").repartition(3, "i")
+    assert training.compared_models(d, "s", "i", {"m": "model"}, 2, 2).first()["bias"] == 3.0 / 6

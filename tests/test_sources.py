@@ -91,3 +91,14 @@ def test_sensor_stream_is_appended(spark, tmp_path):
     out = spark.read.option("header", True).csv(f"{tmp_path}/out")
     assert out.count() == 150 and out.where("v0 = '49.5'").count() == 3 and tuple(out.columns) == readers.IMU
     assert set(readers.STREAMS) >= {"accel", "gyro", "rv"} and len(readers.STREAMS) == 11
+
+
+def test_run_slices_keep_to_their_rows(spark):
+    import re
+
+    runs = [("c", 0, 3), ("a", 3, 70_000), ("none", 70_003, 0), ("b", 70_003, 1), (None, 70_010, 5)]
+    rows = [(k, i) for k, i in enumerate((0, 2, 3, 65_535, 65_536, 70_002, 70_003, 70_003, 70_004, 70_009, 70_014, 70_015, -1, None))]
+    out = readers.run_slices(spark.createDataFrame(rows, "id int, i long"), spark.createDataFrame(runs, "run string, start long, length long"), "run", "i")
+    want = {0: ("c", 0), 1: ("c", 2), 2: ("a", 0), 3: ("a", 65_532), 4: ("a", 65_533), 5: ("a", 69_999), 6: ("b", 0), 7: ("b", 0), 10: (None, 4)}
+    assert {r["id"]: (r["run"], r["place"]) for r in out.collect()} == want and out.columns == ["i", "id", "run", "place"]
+    assert not re.search("Join", out._jdf.queryExecution().optimizedPlan().toString())  # runs aren't laid out by index for a join, which could be broadcast

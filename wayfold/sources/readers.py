@@ -20,6 +20,8 @@ TRACK = ("t_ns", "lat", "lon", "speed_mps", "drift_m", "bias_e", "bias_n", "bias
 MATCH = ("t_ns", "dr_lat", "dr_lon", "snap_lat", "snap_lon", "correction_m", "road_class", "confidence", "heading_applied_deg", "mode")
 ALIASES = {"lat": ("lat", "latitude"), "lon": ("lon", "lng", "longitude"), "speed_mps": ("speed_mps", "speed"), "acc_m": ("acc_m", "accuracy"), "bearing_deg": ("bearing_deg", "bearing")}
 MAGIC = b"mapsforge binary OSM"
+#: Indices of a bundle that are ordered together, as a power of two.
+STRETCH_BITS = 16
 
 
 def resolve(header: list[str], name: str) -> int | None:
@@ -219,6 +221,17 @@ def resampled(samples: DataFrame, grid: DataFrame, key: str, t: str, sensor: str
 
 
 def run_slices(rows: DataFrame, offsets: DataFrame, run: str, index: str) -> DataFrame:
-    """Rows of a bundle with their run and place in it: by ``start`` and ``length`` of the runs, a dimension of few rows."""
-    o = offsets.select(run, "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias(index))
-    return rows.join(o, index).withColumn("place", F.col(index) - F.col("start")).drop("start")
+    """Rows of a bundle with their run and place in it: by ``start`` and ``length`` of the runs, which don't overlap; rows outside all runs go.
+
+    Runs and rows are united and ordered once for each stretch of indices, and a run stands in each stretch that it reaches:
+    nothing has a row for each index but the rows themselves.
+    """
+    start, row, found = F.col("start").cast("long"), F.col("_row"), F.col("_run")
+    stretch = lambda at: F.shiftright(at, STRETCH_BITS)
+    o = offsets.where("length > 0").withColumn("_s", F.explode(F.sequence(stretch(start), stretch(start + F.col("length") - 1))))
+    heads = o.select("_s", start.alias("_i"), F.lit(0).alias("_k"), F.struct(F.col(run), start.alias("start"), (start + F.col("length")).alias("end")).alias("_run"))
+    at = F.col(index).cast("long")
+    body = rows.where(at.isNotNull()).select(stretch(at).alias("_s"), at.alias("_i"), F.lit(1).alias("_k"), F.struct(*rows.columns).alias("_row"))
+    w = Window.partitionBy("_s").orderBy("_i", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    laid = heads.unionByName(body, allowMissingColumns=True).withColumn("_run", F.last("_run", True).over(w)).where(row.isNotNull() & (F.col("_i") < found["end"]))
+    return laid.select(*(row[c].alias(c) for c in (index, *(c for c in rows.columns if c != index))), found[run].alias(run), (row[index] - found["start"]).alias("place"))

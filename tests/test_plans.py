@@ -74,3 +74,22 @@ def test_walks_and_distances_on_all_roads(spark):
     assert set(walks) == set(seg)
     for s in list(seg)[::23]:
         assert [x[1:] for x in sorted(walks[s])] == [(a, w) for a, _, w, _ in g.advance([(s, 10.0, 1, 0.0)], 250.0)]
+
+
+def test_components_across_cells(spark):
+    """A road of many cells that meets itself again far off, one across the equator and the zero meridian, a loop and an end without a place."""
+    step = 0.05
+    far = [(10.0, 20.0 + step * k) for k in range(200)]
+    rows = [(*a, *b) for a, b in zip(far, far[1:])] + [(*far[-1], 10.1, 29.0), (10.1, 29.0, *far[0])]
+    rows += [(-0.01, -0.01, 0.01, 0.01), (0.01, 0.01, 40.0, 0.01), (40.0, 0.01, -0.01, -170.0)]
+    rows += [(5.0, 5.0, 5.0, 5.0), (6.0, 6.0, None, None)]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "seg_id long, alat double, alon double, blat double, blon double")
+    runs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("components", "")
+    out = graph.road_components(d)
+    jobs = len(runs.getJobIdsForGroup("components"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["component"], set()).add(r["node"])
+    assert sorted(len(n) for n in got.values()) == [1, 1, 4, 201] and all(min(n) == c for c, n in got.items())
+    assert jobs <= 20  # rounds don't grow with the length of a road

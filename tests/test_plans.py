@@ -93,3 +93,24 @@ def test_components_across_cells(spark):
         got.setdefault(r["component"], set()).add(r["node"])
     assert sorted(len(n) for n in got.values()) == [1, 1, 4, 201] and all(min(n) == c for c, n in got.items())
     assert jobs <= 20  # rounds don't grow with the length of a road
+
+
+def test_routes_to_one_goal_share_its_costs():
+    import math
+    import random
+
+    import numpy as np
+
+    rng, rows = random.Random(5), [(9000, 30.0, 87.0, 30.001, 87.0)]  # one out of reach
+    for i, j in ((i, j) for i in range(9) for j in range(9)):
+        for di, dj in ((1, 0), (0, 1)):
+            if rng.random() < 0.8:
+                rows.append((len(rows), 22.3 + 0.001 * i, 87.3 + 0.001 * j, 22.3 + 0.001 * (i + di), 87.3 + 0.001 * (j + dj)))
+    g = graph.RoadGraph(rows)
+    goal, starts = g.order[len(g.order) // 2], np.arange(len(g.order))
+    lengths = np.array([g.length[s] for s in g.order])
+    metres, hops = graph.RoutesTo(g, (goal, 20.0), graph.all_turns(g)).routes(starts, np.full(len(starts), 10.0), lengths)
+    for k in starts:
+        want, path = g.route((g.order[k], 10.0), (goal, 20.0))
+        if g.order[k] != goal:
+            assert hops[k] == len(path) and (metres[k] == want or math.isclose(metres[k], want, rel_tol=1e-12))

@@ -246,6 +246,86 @@ def test_satellite_sweep(spark):
     assert low["rmse"] < 1.0 and low["kept"] >= high["kept"]
 
 
+def plain_sweep(spark, epochs, trials, most):
+    """The sweep by ``visible``, ``chosen`` and ``solve``, each a pass of its own over rows of single satellites."""
+
+    def noise(salt, *keys):
+        u = lambda k: (F.pmod(F.xxhash64(*keys, F.lit(salt), F.lit(k)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+        return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+
+    n = epochs.groupBy("session").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 40)).alias("every"))
+    sats = gnss.visible(gnss.constellation(spark, epochs.join(n, "session").where("seq % every = 0").drop("every"), "t_s"), mask_deg=15.0)
+    sats = sats.withColumn("dot", F.col("le") * F.sin(F.radians("bearing")) + F.col("ln") * F.cos(F.radians("bearing")))
+    sats = sats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("drift", noise(1, "session", "seq", "trial"))
+    sats = sats.withColumn("rate", F.col("dot") * F.col("speed") + F.col("drift") + 0.3 * noise(2, "session", "seq", "trial", "sat"))
+    course = F.radians(F.col("bearing") + 3.0 * noise(3, "session", "seq", "trial"))
+    sats = sats.withColumns({"ue": F.sin(course), "un": F.cos(course)}).localCheckpoint()
+    epoch, out = ["session", "seq", "trial"], {}
+    for strategy in ("elevation", "dot", "random"):
+        ranked = gnss.chosen(sats, epoch, strategy, most, "place").localCheckpoint()
+        for n in range(1, most + 1):
+            first = ranked.where(F.col("place") <= n)
+            full = first.join(first.groupBy(*epoch).count().where(F.col("count") == n).drop("count"), epoch).withColumnRenamed("speed", "truth").localCheckpoint()
+            truth = full.where("place = 1").select(*epoch, "truth")
+            for mode, need in gnss.NEEDS.items():
+                if n >= need:
+                    got = gnss.solve(full.withColumn("rate", F.col("rate") - F.col("drift")) if mode == "coast" else full, epoch, mode).join(truth, epoch)
+                    e = F.when(F.col("speed").isNotNull() & (F.col("sigma") * 0.3 <= 2.0), F.col("speed") - F.col("truth"))
+                    r = got.agg(F.count("*").alias("total"), F.count(e).alias("kept"), F.sqrt(F.avg(e * e)).alias("rmse")).first()
+                    if r["total"]:
+                        out[strategy, mode, n] = (r["total"], r["kept"], r["rmse"])
+    return out
+
+
+SWEPT = "session string, seq int, t_s double, lat double, lon double, speed double, bearing double"
+
+
+def swept(d, trials, most):
+    return {(r["strategy"], r["mode"], r["n"]): (r["total"], r["kept"], r["rmse"]) for r in gnss.sweep(d, trials, most).collect()}
+
+
+def test_satellite_sweep_is_the_plain_one(spark):
+    rng = random.Random(4)
+    tracks = {"a": 97, "b": 30, "far": 9, None: 5}
+    rows = [[s, k, 977.0 * k, 80.0 if s == "far" else rng.uniform(-60, 60), rng.uniform(-180, 180), rng.uniform(0, 30), rng.uniform(0, 360)] for s, m in tracks.items() for k in range(m)]
+    for k, column in ((3, 5), (100, 5), (101, 6), (102, 3), (103, 4), (104, 2), (105, 1)):
+        rows[k][column] = None
+    d = spark.createDataFrame(rows, SWEPT).repartition(3)
+    got, want = swept(d, 2, 5), plain_sweep(spark, d, 2, 5)
+    assert got.keys() == want.keys() and len(got) == 3 * 14
+    for k, (total, kept, rmse) in want.items():
+        assert got[k] == (total, kept, pytest.approx(rmse, rel=1e-6))
+    for row in rows:
+        row[5] = float("nan") if row[5] is None else row[5]
+    assert swept(spark.createDataFrame(rows, SWEPT), 2, 5) == {k: (t, n, pytest.approx(e)) for k, (t, n, e) in got.items()}
+    assert not swept(d.where("false"), 2, 5)
+
+
+def test_satellite_sweep_deals_out_its_epochs_once(spark):
+    d = spark.createDataFrame([("a", 0, 0.0, 22.3, 87.3, 10.0, 40.0)], SWEPT)
+    plan = gnss.sweep(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("MapInPandas") == 1 and "Join" not in plan  # tracks, and the sums
+
+
+def test_estimates_of_the_sweep_are_those_of_the_solver(spark):
+    rng = np.random.default_rng(8)
+    x, y, z, rate = rng.normal(size=(4, 60, 4))
+    size = np.sqrt(x * x + y * y + z * z)
+    x, y, z = x / size, y / size, z / size
+    for k in range(10):  # heights that are equal, or nearly so, beside the clock
+        z[k] = 0.5 + 10.0 ** -(k + 1) * np.arange(4) if k else 0.5
+    x[10], y[10], z[10], x[11] = x[10, 0], y[10, 0], z[10, 0], 0.0
+    course, drift = rng.uniform(0, 6, 60), np.zeros(60)
+    d = spark.createDataFrame([(e, *map(float, (x[e, k], y[e, k], z[e, k], rate[e, k], np.sin(course[e]), np.cos(course[e])))) for e in range(60) for k in range(4)], "e long, le double, ln double, lu double, rate double, ue double, un double")
+    with np.errstate(all="ignore"):
+        got = {mode: (speed, good) for n, mode, speed, good in gnss._estimates(x, y, z, rate, drift, np.sin(course), np.cos(course), 5.0) if n == 4}
+    assert got["full"][1][1] and not got["full"][1][[0, 9, 10]].any()
+    for mode, (speed, good) in got.items():
+        want = {r["e"]: r["speed"] for r in gnss.accepted(gnss.solve(d, ["e"], mode), 5.0).where("speed IS NOT NULL").collect()}
+        assert sorted(want) == np.flatnonzero(good).tolist()
+        assert [want[e] for e in sorted(want)] == pytest.approx(speed[good].tolist(), rel=1e-6)
+
+
 def test_geodesic_is_not_the_sphere(spark):
     d = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 1.0, 0.0), (50.0, 10.0, 50.0, 10.0)], "a double, b double, c double, d double")
     got = [r[0] for r in d.select(reports.geodesic_metres("a", "b", "c", "d")).collect()]

@@ -105,41 +105,136 @@ SWEEP = dict(epochs=40, rate=0.3, drift=1.0, course_deg=3.0, sigma=2.0, mask=15.
 NEEDS = {"coast": 1, "nhc": 2, "flat": 3, "full": 4}
 
 
-def _noise(salt: int, *keys: str):
-    """A standard normal that hangs on the keys alone."""
-    u = lambda k: (F.pmod(F.xxhash64(*keys, F.lit(salt), F.lit(k)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+_P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hashed(h: np.ndarray, *values) -> np.ndarray:
+    """Spark's ``xxhash64``, carried on from the hashes ``h`` over columns of 32-bit integers."""
+    for v in values:
+        h = (h + _P5 + np.uint64(4)) ^ (np.asarray(v).astype(np.uint64) * _P1)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def _noise(h: np.ndarray, salt: int) -> np.ndarray:
+    """A standard normal that hangs on the hashes of its keys alone."""
+    u = lambda k: (_hashed(h, salt, k).view(np.int64) % 1_000_003 + 0.5) / 1_000_003.0
+    return np.sqrt(-2 * np.log(u(1))) * np.cos(2 * np.pi * u(2))
+
+
+def _sight(t: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_of_sight_sql`` to the satellites of ``constellation_sql`` for arrays of epochs, a column for each satellite."""
+    t, lat, lon = t[:, None], np.radians(lat)[:, None], np.radians(lon)[:, None]
+    plane, slot = np.divmod(np.arange(PLANES * EACH), EACH)
+    u, node, i = np.radians(slot * 90 + plane * 15 + 360 * t / PERIOD_S), np.radians(plane * 60), np.radians(INCLINATION)
+    cu, su, cn, sn = np.cos(u), np.sin(u), np.cos(node), np.sin(node)
+    sp, cp, sl, cl = np.sin(lat), np.cos(lat), np.sin(lon), np.cos(lon)
+    e2 = geo.WGS84_F * (2 - geo.WGS84_F)
+    n = geo.WGS84_A / np.sqrt(1 - e2 * sp**2)
+    x = ORBIT_M * (cu * cn - su * np.cos(i) * sn) - n * cp * cl
+    y = ORBIT_M * (cu * sn + su * np.cos(i) * cn) - n * cp * sl
+    z = ORBIT_M * su * np.sin(i) - n * (1 - e2) * sp
+    size, ahead = np.sqrt(x * x + y * y + z * z), cl * x + sl * y
+    return (cl * y - sl * x) / size, (cp * z - sp * ahead) / size, (cp * ahead + sp * z) / size
+
+
+def _flat_speed(a: list[list[np.ndarray]], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Speed, its sigma and the determinant from normal equations with the two speeds first, for arrays of them: the other unknowns are eliminated."""
+    a, b, det = [list(row) for row in a], list(b), 1.0
+    for k in range(len(b) - 1, 1, -1):
+        det = det * a[k][k]
+        for i in range(k):
+            f = a[i][k] / a[k][k]
+            b[i] = b[i] - f * b[k]
+            for j in range(i, k):
+                a[i][j] = a[j][i] = a[i][j] - f * a[k][j]
+    two = a[0][0] * a[1][1] - a[0][1] ** 2
+    v = (a[1][1] * b[0] - a[0][1] * b[1]) / two, (a[0][0] * b[1] - a[0][1] * b[0]) / two
+    return np.hypot(*v), np.sqrt((a[0][0] + a[1][1]) / two), det * two
+
+
+def _estimates(x: np.ndarray, y: np.ndarray, z: np.ndarray, rate: np.ndarray, drift: np.ndarray, ue: np.ndarray, un: np.ndarray, most_sigma: float):
+    """``n, mode, speed, good`` by each estimator of ``solve`` from the first satellites of the rows; good: within the gate, and not singular."""
+    h = x * ue[:, None] + y * un[:, None]
+    columns = [x, y, z, np.ones_like(x)]
+    total = lambda v: np.cumsum(v, axis=1)
+    s, ss, r, sr, known = total(h), total(h * h), total(rate), total(h * rate), total(h * (rate - drift[:, None]))
+    a, b = [[total(p * q) for q in columns] for p in columns], [total(p * rate) for p in columns]
+    for n in range(1, x.shape[1] + 1):
+        k = n - 1
+        yield n, "coast", (speed := known[:, k] / ss[:, k]), np.isfinite(speed) & (1 / np.sqrt(ss[:, k]) <= most_sigma)
+        if n >= NEEDS["nhc"]:
+            det = n * ss[:, k] - s[:, k] ** 2
+            yield n, "nhc", (speed := (n * sr[:, k] - s[:, k] * r[:, k]) / det), np.isfinite(speed) & (np.sqrt(np.abs(n / det)) <= most_sigma)
+        for mode, picked in (("flat", [0, 1, 3]), ("full", [0, 1, 2, 3])):
+            if n >= NEEDS[mode]:
+                m, size = [[a[i][j][:, k] for j in picked] for i in picked], len(picked)
+                speed, sigma, det = _flat_speed(m, [b[i][:, k] for i in picked])
+                good = np.isfinite(speed) & (sigma <= most_sigma)
+                trace = sum(m[i][i] for i in range(size))
+                # the least eigenvalue is det / (trace / (size - 1)) ** (size - 1) at least; where that is too small to tell, it is sought
+                doubt = np.flatnonzero(good & ~(det > 2e-10 * trace * (trace / (size - 1)) ** (size - 1)))
+                if doubt.size:
+                    least = np.linalg.eigvalsh(np.array([[v[doubt] for v in row] for row in m]).transpose(2, 0, 1))
+                    good[doubt] = least[:, 0] > 1e-10 * least[:, -1]
+                yield n, mode, speed, good
+
+
+def _swept(pdf: pd.DataFrame, c: dict, trials: int, most: int) -> Iterator[tuple]:
+    """``strategy, mode, n, total, kept, sum of squared errors`` of each trial for a batch of epochs, of which ``key`` is the hash."""
+    key = pdf["key"].to_numpy(np.int64).view(np.uint64)
+    speed, bearing = pdf["speed"].to_numpy(float), pdf["bearing"].to_numpy(float)
+    sight = _sight(*(pdf[k].to_numpy(float) for k in ("t_s", "lat", "lon")))
+    elevation = np.degrees(np.arcsin(np.clip(sight[2], -1, 1)))
+    seen = ~(elevation < c["mask"])
+    count = seen.sum(axis=1)
+    sat = np.argsort(~seen, axis=1, kind="stable")[:, : count.max(initial=0)]  # those in view, in their order
+    seen, le, ln, lu, elevation = (np.take_along_axis(v, sat, 1) for v in (seen, *sight, elevation))
+    dot = le * np.sin(np.radians(bearing))[:, None] + ln * np.cos(np.radians(bearing))[:, None]
+    best = {"elevation": np.where(seen, -elevation, np.inf), "dot": np.where(seen, -np.abs(dot), np.inf)}
+    for trial in range(trials):
+        h = _hashed(key, trial)
+        each = _hashed(h[:, None], sat)
+        best["random"] = np.where(seen, each.view(np.int64), np.iinfo(np.int64).max)
+        drift = c["drift"] * _noise(h, 1)
+        rate = dot * speed[:, None] + drift[:, None] + c["rate"] * _noise(each, 2)
+        course = np.radians(bearing + c["course_deg"] * _noise(h, 3))
+        for strategy, order in best.items():
+            first = np.argsort(order, axis=1, kind="stable")[:, :most]
+            picked = (np.take_along_axis(v, first, 1) for v in (le, ln, lu, rate))
+            for n, mode, got, good in _estimates(*picked, drift, np.sin(course), np.cos(course), c["sigma"] / c["rate"]):
+                there, e = count >= n, got - speed
+                e = e[there & good & np.isfinite(e)]
+                yield strategy, mode, n, int(there.sum()), len(e), float(e @ e)
 
 
 def sweep(epochs: DataFrame, trials: int = 2, most: int = 4) -> DataFrame:
     """``strategy, mode, n, total, kept, rmse``: errors of the speed by strategy of choice, estimator and number of satellites.
 
     Of a track (``session``, rows numbered by ``seq``) about forty epochs are taken, evenly spread, and all of a shorter one.
-    Noise hangs on the epoch, satellite and trial, so a sweep can be repeated. An estimate whose sigma is beyond the gate
-    counts in ``total`` alone.
+    Noise hangs on the epoch, satellite and trial, so a sweep can be repeated. An estimate whose sigma is beyond the gate,
+    or that is no number, counts in ``total`` alone. Epochs without a session, time or place are left out.
+
+    The choice and the estimates of ``visible``, ``chosen`` and ``solve``, for a batch of epochs at once: an epoch needs no
+    other, so past the count of a track's rows only the sums of each task are shuffled.
     """
-    spark, c = epochs.sparkSession, SWEEP
+    c = dict(SWEEP)
     every = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("session")) / c["epochs"]))
-    epochs = epochs.withColumn("_every", every).where("seq % _every = 0").drop("_every")
-    sats = visible(constellation(spark, epochs.withColumn("t", F.col("t_s")), "t"), mask_deg=c["mask"])
-    sats = sats.withColumns({"te": F.sin(F.radians("bearing")), "tn": F.cos(F.radians("bearing"))}).withColumn("dot", F.col("le") * F.col("te") + F.col("ln") * F.col("tn"))
-    sats = sats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    sats = sats.withColumn("drift", c["drift"] * _noise(1, "session", "seq", "trial"))
-    sats = sats.withColumn("rate", F.col("dot") * F.col("speed") + F.col("drift") + c["rate"] * _noise(2, "session", "seq", "trial", "sat"))
-    course = F.radians(F.col("bearing") + c["course_deg"] * _noise(3, "session", "seq", "trial"))
-    sats = sats.withColumns({"ue": F.sin(course), "un": F.cos(course)})
-    epoch, ranked = ["session", "seq", "trial"], None
-    for strategy in ("elevation", "dot", "random"):
-        one = chosen(sats, epoch, strategy, most, "place").withColumn("strategy", F.lit(strategy))
-        ranked = one if ranked is None else ranked.unionByName(one)
-    keys = [*epoch, "strategy", "n"]
-    some = ranked.withColumn("n", F.explode(F.expr(f"sequence(place, {most})")))
-    some = some.withColumn("_m", F.count("*").over(Window.partitionBy(*keys))).where("_m = n").withColumnRenamed("speed", "truth")
-    truth, solved = some.where("place = 1").select(*keys, "truth"), None
-    for mode, need in NEEDS.items():
-        known = some.withColumn("rate", F.col("rate") - F.col("drift")) if mode == "coast" else some
-        one = solve(known.where(F.col("n") >= need), keys, mode).select(*keys, F.lit(mode).alias("mode"), "speed", "sigma")
-        solved = one if solved is None else solved.unionByName(one)
-    good = F.col("speed").isNotNull() & (F.col("sigma") * c["rate"] <= c["sigma"])
-    e = F.when(good, F.col("speed") - F.col("truth"))
-    return solved.join(truth, keys).groupBy("strategy", "mode", "n").agg(F.count("*").alias("total"), F.count(e).alias("kept"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    epochs = epochs.withColumn("_every", every).where("seq % _every = 0 AND session IS NOT NULL AND t_s IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    epochs = epochs.select(F.xxhash64("session", "seq").alias("key"), *(F.col(k).cast("double").alias(k) for k in ("t_s", "lat", "lon", "speed", "bearing")))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+        with np.errstate(all="ignore"):
+            for pdf in parts:
+                for *cell, total, kept, square in _swept(pdf, c, trials, most):
+                    s = sums.setdefault(tuple(cell), [0, 0, 0.0])
+                    s[0], s[1], s[2] = s[0] + total, s[1] + kept, s[2] + square
+        yield pd.DataFrame([(*cell, *s) for cell, s in sums.items() if s[0]], columns=["strategy", "mode", "n", "total", "kept", "square"])
+
+    sums = epochs.mapInPandas(run, "strategy string, mode string, n int, total long, kept long, square double")
+    total, kept = F.sum("total"), F.sum("kept")
+    return sums.groupBy("strategy", "mode", "n").agg(total.alias("total"), kept.alias("kept"), F.sqrt(F.sum("square") / F.nullif(kept, F.lit(0))).alias("rmse"))
